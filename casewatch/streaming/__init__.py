@@ -1,0 +1 @@
+"""Intentionally empty: reports arrive as parquet files and every operator is a batch plan."""
