@@ -27,3 +27,54 @@ WITH m AS (
   JOIN nation ON c_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey
 )"""
+
+NORM = r"trim(regexp_replace(regexp_replace(upper(coalesce({0}, '')), '[^A-Z0-9 \-\+]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+# Indication keyword alternations.
+TRANSPLANT = (
+    "(TRANSPLANT|TRANSPLANTATION|GRAFT|RENAL TRANSPLANT|KIDNEY TRANSPLANT|HEART TRANSPLANT|LIVER TRANSPLANT"
+    "|PANCREAS TRANSPLANT|BONE MARROW TRANSPLANT|HSCT|SCT)"
+)
+AUTOIMMUNE = (
+    "(SYSTEMIC LUPUS|LUPUS|SLE|RHEUMATOID ARTHRITIS|RA|PSORIASIS|PSORIATIC|ANKYLOSING SPONDYLITIS|CROHN"
+    "|ULCERATIVE COLITIS|IBD|INFLAMMATORY BOWEL|VASCULITIS|ANCA|MULTIPLE SCLEROSIS|MYASTHENIA|SJOGREN|SCLERODERMA"
+    "|DERMATOMYOSITIS|POLYMYOSITIS|AUTOIMMUNE|IGA NEPHROPATHY|LUPUS NEPHRITIS)"
+)
+
+# The demonstration dictionaries in SQL.
+CLASS_TESTS = {
+    "flag_class_a": "(drug LIKE '%RED%' OR drug LIKE '%BLUE%')",
+    "flag_class_b": "(drug LIKE '%OLD%')",
+    "flag_class_c": "(drug LIKE '%GEAR%' OR drug LIKE '%RING%')",
+}
+CLASS_LABELS = {"flag_class_a": "Class A", "flag_class_b": "Class B", "flag_class_c": "Class C"}
+CLASS_ROWS = "(VALUES ('Class A', 'RED'), ('Class A', 'BLUE'), ('Class B', 'OLD'), ('Class C', 'GEAR'), ('Class C', 'RING'))"
+MOLECULE_TESTS = {
+    "flag_mol_red": "drug IN ('RED WIDGET', 'RED GEAR', 'RED BOLT')",
+    "flag_mol_blue": "drug IN ('BLUE WIDGET', 'BLUE RING')",
+    "flag_mol_old": "drug IN ('OLD ROD', 'OLD PLATE', 'COLD ROD')",
+    "flag_mol_gear": "drug IN ('HOT GEAR', 'NEW GEAR')",
+}
+OUTCOME = "pt_code IN (1, 2, 3, 4)"
+
+
+def r6(expression: str) -> str:
+    return f"round({expression}, 6) + 0.0"
+
+
+def flag_list(tests: dict[str, str], condition: str = "role IN ('PS', 'SS')") -> str:
+    return ", ".join(
+        f"max(CASE WHEN {condition} AND {test} THEN 1 ELSE 0 END) AS {name}" for name, test in tests.items()
+    )
+
+
+def flags_sql(source: str = "m", tests: dict[str, str] = CLASS_TESTS, condition: str = "role IN ('PS', 'SS')") -> str:
+    return f"SELECT case_id, {flag_list(tests, condition)} FROM {source} GROUP BY case_id"
+
+
+def stacked(select: str, source: str, labels: dict[str, str] = CLASS_LABELS) -> str:
+    """The reference form of a long table: one block per flag, united."""
+    return " UNION ALL ".join(
+        f"SELECT '{label}' AS exposure, {select.replace('FLAG', flag)} FROM {source} WHERE {flag} = 1"
+        for flag, label in labels.items()
+    )
