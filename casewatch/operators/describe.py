@@ -11,6 +11,7 @@ from casewatch.functions.numbers import pct, ratio
 from casewatch.functions.reports import first_class_label
 from casewatch.operators.exposure import long_form
 from casewatch.operators.ranking import quantiles_of_counts
+from casewatch.session import cut_lineage
 
 Labels = Mapping[str, str]
 
@@ -22,12 +23,15 @@ def count_by(df: DataFrame, labels: Labels, column: str, n: str = "n") -> DataFr
 
 
 def quantiles_by(df: DataFrame, labels: Labels, value: str) -> DataFrame:
-    """Non-missing count, median, first and third quartile of a value per exposure."""
+    """Non-missing count, median, first and third quartile of a value per exposure.
+
+    Writes the distinct values with their counts once.
+    """
     wide = df.filter(F.col(value).isNotNull()).groupBy(value).agg(
         *[F.sum(flag).cast("bigint").alias(flag) for flag in labels]
     )
     counts = long_form(wide, [value], labels, {"n": lambda f: F.col(f)}).filter("n > 0")
-    found = quantiles_of_counts(counts, value, (0.25, 0.5, 0.75), ["exposure"])
+    found = quantiles_of_counts(cut_lineage(counts), value, (0.25, 0.5, 0.75), ["exposure"])
     return found.select(
         "exposure", "n", F.get("q", 1).alias("median"), F.get("q", 0).alias("q1"), F.get("q", 2).alias("q3")
     )

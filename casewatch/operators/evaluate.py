@@ -14,12 +14,17 @@ from pyspark.sql import functions as F
 
 from casewatch.operators.filters import finite_pairs
 from casewatch.operators.ranking import quantiles_of_counts, running_totals
+from casewatch.session import cut_lineage
 
 
 def score_counts(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ()) -> DataFrame:
-    """(by, p, n, pos): rows and positives per distinct score; missing and infinite pairs dropped."""
+    """(by, p, n, pos): rows and positives per distinct score; missing and infinite pairs dropped.
+
+    The table is written once, because every measure reads it several times and it is far smaller than
+    the plan that makes it.
+    """
     pairs = finite_pairs(df, y, p).select(*by, F.col(y).cast("bigint").alias("y"), F.col(p).cast("double").alias("p"))
-    return pairs.groupBy(*by, "p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
+    return cut_lineage(pairs.groupBy(*by, "p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")))
 
 
 def discrimination(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ()) -> DataFrame:

@@ -7,13 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewatch.session import cut_lineage
+
 
 def running_totals(
     collapsed: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), n_cuts: int = 255
 ) -> DataFrame:
     """Add `<x>_upto` (sum of x over values <= this one) and `<x>_all` (group total) for each x in `sums`.
 
-    `collapsed` holds one row per (by, value). A fixed pseudo-random sample of the values cuts the
+    `collapsed` holds one row per (by, value); it is read three times, so pass a written table
+    (`cut_lineage`). A fixed pseudo-random sample of the values cuts the
     value range into about equal buckets; sums run inside a bucket and start from the total of the
     buckets below. The sample is chosen by hash, so a recomputed task sees the same cuts.
     """
@@ -22,9 +25,8 @@ def running_totals(
         .agg(F.array_sort(F.collect_list(value)))
         .scalar()
     )
-    bucketed = collapsed.withColumn("_cuts", cuts).withColumn(
-        "_bucket", F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
-    ).drop("_cuts")
+    bucket = F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
+    bucketed = collapsed.withColumn("_cuts", cuts).withColumn("_bucket", bucket).drop("_cuts")
     keys = [*by, "_bucket"]
     below = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
@@ -72,6 +74,6 @@ def quantiles_of_counts(
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles of a column, nulls ignored."""
+    """Exact quantiles of a column, nulls ignored; writes the distinct values with their counts once."""
     collapsed = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    return quantiles_of_counts(collapsed, value, probabilities, by)
+    return quantiles_of_counts(cut_lineage(collapsed), value, probabilities, by)

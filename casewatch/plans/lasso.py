@@ -79,7 +79,7 @@ class Fit:
     beta: tuple[float, ...]
 
 
-def fit_path(patterns: DataFrame, p: int, penalties: Sequence[float], parallelism: int = 4) -> list[Fit]:
+def fit_path(patterns: DataFrame, p: int, penalties: Sequence[float], parallelism: int = 8) -> list[Fit]:
     """One fit per penalty; independent Spark ML jobs over the same small cached table."""
     sd = moments(patterns, p).sd
     points = weighted_points(patterns, sd).persist()
@@ -87,7 +87,7 @@ def fit_path(patterns: DataFrame, p: int, penalties: Sequence[float], parallelis
     def fit(penalty: float) -> Fit:
         model = LogisticRegression(
             featuresCol="features", labelCol="label", weightCol="weight", regParam=penalty,
-            elasticNetParam=1.0, standardization=False, maxIter=500, tol=1e-9,
+            elasticNetParam=1.0, standardization=False, maxIter=500, tol=1e-7,
         ).fit(points)
         beta = tuple(float(b) / s if s > 0 else 0.0 for b, s in zip(model.coefficients.toArray(), sd))
         return Fit(penalty, float(model.intercept), beta)
@@ -145,7 +145,7 @@ def lasso_path(
     terms: Sequence[str],
     fold: str = "fold",
     n_lambda: int = 100,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> LassoPath:
     """Penalty path on all patterns, and deviance per penalty on each held-out fold.
 
@@ -212,7 +212,7 @@ def oof_predict(
     design: Design,
     patterns: DataFrame,
     n_lambda: int = 100,
-    parallelism: int = 4,
+    parallelism: int = 8,
     key: str = "case_id",
 ) -> OutOfFold:
     """Nested out-of-fold predictions: per outer fold an inner cross-validation picks lambda.1se."""
@@ -234,7 +234,7 @@ def check_outcome(design: Design) -> Design:
 
 
 def lasso_model(
-    design: Design, n_lambda: int = 100, folds: int = 10, parallelism: int = 4, key: str = "case_id"
+    design: Design, n_lambda: int = 100, folds: int = 10, parallelism: int = 8, key: str = "case_id"
 ) -> tuple[LassoPath, DataFrame, Design]:
     """Path over a design; also returns the written patterns and the design with folds."""
     folded = with_folds(check_outcome(design), folds, folds, key)
