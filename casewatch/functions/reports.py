@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casewatch import defaults as D
-from casewatch.functions.text import as_col, safe_double, upper_trim
+from casewatch.functions.text import as_col, contains_any, safe_double, shortest_words, upper_trim
 
 
 def age_to_years(age: Column | str, unit: Column | str) -> Column:
@@ -91,13 +91,14 @@ def indication_group(
 ) -> Column:
     """Three groups by keyword, transplant first. Keywords match inside words unless `whole_word`."""
     text = F.upper(as_col(c))
-    edge = r"\b" if whole_word else ""
     other, tx, ai = D.INDICATION_LEVELS
-    return (
-        F.when(text.rlike(f"{edge}({'|'.join(transplant)}){edge}"), tx)
-        .when(text.rlike(f"{edge}({'|'.join(autoimmune)}){edge}"), ai)
-        .otherwise(other)
-    )
+
+    def named(words: Iterable[str]) -> Column:
+        if whole_word:
+            return text.rlike(rf"\b({'|'.join(words)})\b")
+        return contains_any(text, shortest_words(words))
+
+    return F.when(named(transplant), tx).when(named(autoimmune), ai).otherwise(other)
 
 
 def indication_dummy(group: Column | str) -> Column:

@@ -17,16 +17,18 @@ def as_col(c: Column | str) -> Column:
 
 
 def norm_text(c: Column | str) -> Column:
-    """Upper case, anything but letters, digits, space, '-' and '+' to a space, spaces collapsed, trimmed."""
-    kept = F.regexp_replace(F.upper(F.coalesce(as_col(c), F.lit(""))), r"[^A-Z0-9 \-+]", " ")
-    return F.trim(F.regexp_replace(kept, r"\s+", " "))
+    """Upper case, anything but letters, digits, space, '-' and '+' to a space, spaces collapsed, trimmed.
+
+    A run of other characters and spaces becomes one space, so a single pass over the text does both.
+    """
+    return F.trim(F.regexp_replace(F.upper(F.coalesce(as_col(c), F.lit(""))), r"[^A-Z0-9\-+]+", " "))
 
 
 def register_norm(spark: SparkSession, name: str = "norm_text") -> None:
     """The same normalisation as a temporary SQL function."""
     spark.sql(
         rf"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(s STRING) RETURNS STRING
-        RETURN trim(regexp_replace(regexp_replace(upper(coalesce(s, '')), r'[^A-Z0-9 \-+]', ' '), r'\s+', ' '))"""
+        RETURN trim(regexp_replace(upper(coalesce(s, '')), r'[^A-Z0-9\-+]+', ' '))"""
     )
 
 
@@ -46,6 +48,12 @@ def contains_any(c: Column | str, keywords: Iterable[str]) -> Column:
     return reduce(lambda left, right: left | right, [F.contains(text, F.lit(k)) for k in keywords])
 
 
+def shortest_words(words: Iterable[str]) -> list[str]:
+    """Words that contain no other word of the list: a substring test needs only these."""
+    words = list(dict.fromkeys(words))
+    return [w for w in words if not any(other != w and other in w for other in words)]
+
+
 def in_dictionary(c: Column | str, keys: Iterable[str]) -> Column:
     """True when the upper-cased text equals a key; false for null."""
     return F.coalesce(F.upper(as_col(c)).isin(list(keys)), F.lit(False))
@@ -53,7 +61,7 @@ def in_dictionary(c: Column | str, keys: Iterable[str]) -> Column:
 
 def match(c: Column | str, keywords: Iterable[str], how: str) -> Column:
     if how == "contains":
-        return contains_any(F.upper(as_col(c)), keywords)
+        return contains_any(F.upper(as_col(c)), shortest_words(keywords))
     if how == "exact":
         return in_dictionary(c, keywords)
     raise ValueError(f"how must be 'contains' or 'exact', not {how!r}")

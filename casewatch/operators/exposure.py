@@ -108,6 +108,18 @@ def case_flags(
     return reports.groupBy("case_id").agg(*[F.max(c).alias(name) for name, c in flags.items()])
 
 
+def exposed_flags(
+    reports: DataFrame,
+    dictionary: Dictionary,
+    how: str = "contains",
+    roles: Iterable[str] | None = D.SUSPECT_ROLES,
+) -> DataFrame:
+    """`case_flags` of the exposed cases only: rows without a match are dropped before the aggregate."""
+    every_word = [word for words in dictionary.values() for word in words]
+    matching = reports.filter(in_roles(roles) & match("drug", every_word, how))
+    return case_flags(matching, dictionary, how, None)
+
+
 def text_flags(df: DataFrame, text: str, dictionary: Dictionary) -> DataFrame:
     """Flags from a column that already holds all drug names of a case."""
     return df.select(

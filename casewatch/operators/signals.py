@@ -12,7 +12,7 @@ from casewatch.functions.metrics import with_metrics
 from casewatch.functions.numbers import order_key
 from casewatch.functions.text import norm_text
 from casewatch.operators.exposure import (
-    Dictionary, case_flags, drug_exposures, flag_labels, long_form,
+    Dictionary, drug_exposures, exposed_flags, flag_labels, long_form,
 )
 
 TERM_COLUMNS = {"SOC": "soc", "HLGT": "hlgt", "HLT": "hlt", "PT": "pt"}
@@ -63,28 +63,25 @@ def class_counts(
     and summed per term. Non-exposed and non-event cells come from the margins, so no absent pair is
     ever formed.
     """
-    flags = case_flags(reports, dictionary, how, roles)
+    exposed = exposed_flags(reports, dictionary, how, roles)
     labels = flag_labels(dictionary)
-    any_flag = F.greatest(*[F.col(f) for f in labels], F.lit(0))
-    margins = flags.agg(
+    margins = exposed.agg(
         F.struct(
-            F.count(F.lit(1)).alias("n_cases"),
-            F.coalesce(F.sum(any_flag), F.lit(0)).alias("n_any"),
+            F.count(F.lit(1)).alias("n_any"),
             *[F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in labels],
         )
     ).scalar()
-    exposed = flags.filter(any_flag == 1)
     per_term = (
         case_terms(reports, levels)
-        .join(exposed, "case_id", "left")
+        .join(exposed.withColumn("_any", F.lit(1)), "case_id", "left")
         .groupBy("level", "term")
         .agg(
             F.count(F.lit(1)).alias("n_term"),
-            F.coalesce(F.sum(any_flag), F.lit(0)).alias("n_any_term"),
+            F.count("_any").alias("n_any_term"),
             *[F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in labels],
         )
         .withColumn("_m", margins)
-        .withColumns({"n_cases": F.col("_m.n_cases"), "n_any": F.col("_m.n_any")})
+        .withColumns({"n_cases": _total(reports.select("case_id").distinct()), "n_any": F.col("_m.n_any")})
     )
     long = long_form(
         per_term,
