@@ -87,7 +87,7 @@ def fit_path(patterns: DataFrame, p: int, penalties: Sequence[float], parallelis
     def fit(penalty: float) -> Fit:
         model = LogisticRegression(
             featuresCol="features", labelCol="label", weightCol="weight", regParam=penalty,
-            elasticNetParam=1.0, standardization=False, maxIter=500, tol=1e-7,
+            elasticNetParam=1.0, standardization=False, maxIter=500, tol=1e-10,
         ).fit(points)
         beta = tuple(float(b) / s if s > 0 else 0.0 for b, s in zip(model.coefficients.toArray(), sd))
         return Fit(penalty, float(model.intercept), beta)

@@ -200,12 +200,12 @@ def lasso_one_flag_path(spark, sf_dir):
 @query(CARRIER + DRUG_ROWS + ONE_PATH + """, l1 AS (SELECT k, pen, h.n, -2 * (h.y1 * ln(p1) + (h.n1 - h.y1) * ln(1 - p1)
   + (h.p - h.y1) * ln(p0) + (h.n - h.n1 - h.p + h.y1) * ln(1 - p0)) / h.n AS loss FROM fit JOIN hold h USING (fold)),
  l2 AS (SELECT k, pen, n, loss, sum(loss * n) OVER (PARTITION BY k) / sum(n) OVER (PARTITION BY k) AS cvm FROM l1)
- SELECT round(pen, 6) + 0.0 AS "lambda", round(max(cvm), 5) + 0.0 AS cvm,
- round(sqrt(sum((loss - cvm) ** 2 * n) / sum(n) / 2), 5) + 0.0 AS cvsd FROM l2 GROUP BY k, pen""")
+ SELECT round(pen, 6) + 0.0 AS "lambda", round(max(cvm), 4) + 0.0 AS cvm,
+ round(sqrt(sum((loss - cvm) ** 2 * n) / sum(n) / 2), 4) + 0.0 AS cvsd FROM l2 GROUP BY k, pen""")
 def lasso_one_flag_cv_curve(spark, sf_dir):
     design = DM.design_matrix(features(spark, sf_dir), ("flag_mol_red",), {})
     path, _, _ = L.lasso_model(design, n_lambda=4, folds=3)
-    return rounded(rounded(path.curve, "lambda"), "cvm", "cvsd", digits=5)
+    return rounded(rounded(path.curve, "lambda"), "cvm", "cvsd", digits=4)
 
 
 @query(CARRIER + DRUG_ROWS + DESIGN + f""", v AS (UNPIVOT x ON {', '.join(f'"{t}"' for t in DESIGN_TERMS)} INTO NAME feature VALUE val),

@@ -287,11 +287,11 @@ def percentages(spark, sf_dir):
     return rounded(d.withColumns({"pct": fn.pct("k", "n"), "ratio": fn.ratio("k", "n")}), "ratio")
 
 
-@query(CARRIER + f""", d AS ({PER_DRUG}), o AS (SELECT drug, k * 1.0 / (n - k) AS odds_ratio FROM d WHERE k > 0)
+@query(CARRIER + f""", d AS ({PER_DRUG}), o AS (SELECT drug, k * 1.0 / (n - k) AS odds_ratio FROM d WHERE k > 0 AND k < n)
 SELECT drug, {r6('ln(odds_ratio)')} AS beta, {r6('exp(ln(odds_ratio))')} AS back,
   {r6('1 / (1 + exp(-ln(odds_ratio)))')} AS p FROM o""")
 def log_odds_and_back(spark, sf_dir):
-    d = per_drug(spark, sf_dir).filter("k > 0").withColumn("odds_ratio", F.col("k") / (F.col("n") - F.col("k")))
+    d = per_drug(spark, sf_dir).filter("k > 0 AND k < n").withColumn("odds_ratio", F.col("k") / (F.col("n") - F.col("k")))
     beta = fn.log_odds("odds_ratio")
     out = d.select("drug", beta.alias("beta"), fn.odds(beta).alias("back"), fn.logistic(beta).alias("p"))
     return rounded(out, "beta", "back", "p")
