@@ -27,9 +27,9 @@ def zero_correct(a: Column, b: Column, c: Column, d: Column, mode: str) -> tuple
     raise ValueError(f"correction must be 'cell' or 'table', not {mode!r}")
 
 
-def reporting_odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Same value in both layouts: ad / bc."""
-    return (a * d) / (b * c)
+def reporting_odds_ratio(a: Column, b: Column, c: Column, d: Column, layout: str) -> Column:
+    """Equal in both layouts, but each keeps its own order of operations."""
+    return (a / c) / (b / d) if layout == "event_major" else (a * d) / (b * c)
 
 
 def odds_ratio_bounds(ror: Column, a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Column]:
@@ -70,7 +70,7 @@ def with_metrics(counts: DataFrame, layout: str = "event_major", correction: str
     cells = zero_correct(F.col("a"), F.col("b"), F.col("c"), F.col("d"), mode)
     fixed = counts.withColumns(dict(zip(names, cells)))
     a, b, c, d = (F.col(n) for n in names)
-    fixed = fixed.withColumn("ROR", reporting_odds_ratio(a, b, c, d))
+    fixed = fixed.withColumn("ROR", reporting_odds_ratio(a, b, c, d, layout))
     low, high = odds_ratio_bounds(F.col("ROR"), a, b, c, d)
     prr, chi2 = proportional_ratio(a, b, c, d, layout), chi_square(a, b, c, d)
     if layout == "event_major":

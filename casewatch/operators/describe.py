@@ -70,12 +70,12 @@ def top_categories(df: DataFrame, group: str, category: str, k: int = 10) -> Dat
 
     Rows without a category count towards the group total only.
     """
+    within = Window.partitionBy(group)
     counts = df.groupBy(group, category).agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy(group).agg(F.sum("n").alias("n_total"))
-    named = counts.filter(F.length(category) > 0)
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), category))
+    named = counts.withColumn("n_total", F.sum("n").over(within)).filter(F.length(category) > 0)
+    rank = F.row_number().over(within.orderBy(F.desc("n"), category))
     best = named.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
-    return best.join(totals, group).withColumn("share", ratio("n", "n_total"))
+    return best.withColumn("share", ratio("n", "n_total"))
 
 
 def onset_table(cases: DataFrame, labels: Labels, bin_column: str = "tto_bin", outcome: str = "outcome") -> DataFrame:

@@ -81,14 +81,21 @@ def join_dictionary(reports: DataFrame, lookup: DataFrame, how: str = "exact") -
     """Rows joined to a lookup table (key, label): the form for dictionaries too large to be literals.
 
     `exact` is an equi-join on the upper-cased name. `contains` first tags the distinct names, then joins
-    the tags back, so substring tests grow with the vocabulary and not with the rows. No broadcast is forced.
+    the tags back, so substring tests grow with the vocabulary and not with the rows. Candidate keys
+    of a name are found by an equi-join on the first letters of the key, which must occur in the name.
     """
     upper = reports.withColumn("_drug", F.upper("drug"))
-    keys = lookup.select(F.upper("key").alias("_key"), "label").distinct()
+    keys = lookup.select(F.upper("key").alias("_key"), "label").filter(F.length("_key") > 0).distinct()
     if how == "exact":
         return upper.join(keys, F.col("_drug") == F.col("_key")).drop("_drug", "_key")
-    names = upper.select("_drug").distinct()
-    tags = names.join(keys, F.contains(F.col("_drug"), F.col("_key"))).select("_drug", "label").distinct()
+    names = upper.filter(F.length("_drug") > 0).select("_drug").distinct()
+    starts = F.transform(
+        F.sequence(F.lit(1), F.length("_drug")),
+        lambda i: F.array(*[F.substr(F.col("_drug"), i, F.lit(size)) for size in (1, 2, 3)]),
+    )
+    grams = names.select("_drug", F.explode(F.array_distinct(F.flatten(starts))).alias("_gram"))
+    candidates = grams.join(keys.withColumn("_gram", F.substring("_key", 1, 3)), "_gram")
+    tags = candidates.filter(F.contains("_drug", "_key")).select("_drug", "label").distinct()
     return upper.join(tags, "_drug").drop("_drug")
 
 

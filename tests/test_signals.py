@@ -98,6 +98,15 @@ def test_dictionary_join_equals_literals(spark, reports):
     assert left == right
 
 
+def test_dictionary_join_with_short_and_empty_keys(spark):
+    from casewatch.sources import lookup_from_dict
+
+    reports = spark.createDataFrame([(1, "ab cd"), (2, "x"), (3, ""), (4, None), (5, "CDAB")], "case_id long, drug string")
+    lookup = lookup_from_dict(spark, {"p": ["b", ""], "q": ["cd", "B CD"], "r": ["x", "abcdefgh"]})
+    got = {(r["case_id"], r["label"]) for r in E.join_dictionary(reports, lookup, "contains").collect()}
+    assert got == {(1, "p"), (1, "q"), (2, "r"), (5, "p"), (5, "q")}
+
+
 def test_strata_and_roll_up(spark):
     rng = random.Random(3)
     rows = [(rng.choice("xy"), rng.choice("uv"), rng.randint(0, 1), rng.randint(0, 1), rng.randint(0, 1)) for _ in range(500)]
