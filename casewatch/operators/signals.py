@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewatch import defaults as D
@@ -111,25 +111,27 @@ def drug_counts(
     the result, however many report rows it has.
     """
     exposures = drug_exposures(reports, dictionary, how, roles)
-    terms = case_terms(reports, levels)
-    per_drug = exposures.groupBy("exposure").agg(F.count(F.lit(1)).alias("n_exposed"))
-    any_exposed = exposures.select("case_id").distinct()
-    n_any, n_any_term, marked = F.lit(0), F.lit(0), terms
-    if comparator == "unexposed":
-        marked = terms.join(any_exposed.withColumn("_any", F.lit(1)), "case_id", "left")
-        n_any, n_any_term = _total(any_exposed), F.count("_any")
-    per_term = marked.groupBy("level", "term").agg(
-        F.count(F.lit(1)).alias("n_term"), n_any_term.alias("n_any_term")
+    # One exposure per case is marked, so that sums over exposures can also count the case once.
+    marked = exposures.withColumn(
+        "_once", F.row_number().over(Window.partitionBy("case_id").orderBy("exposure")) == 1
     )
+    per_drug = exposures.groupBy("exposure").agg(F.count(F.lit(1)).alias("n_exposed"))
+    once = F.count_if(F.coalesce("_once", F.lit(True)))
+    in_term = Window.partitionBy("level", "term")
     pairs = (
-        terms.join(exposures, "case_id")
+        case_terms(reports, levels)
+        .join(marked, "case_id", "left")
         .groupBy("level", "exposure", "term")
-        .agg(F.count(F.lit(1)).alias("n_exposed_term"))
+        .agg(F.count(F.lit(1)).alias("n_exposed_term"), once.alias("_cases"))
+        .withColumns({
+            "n_term": F.sum("_cases").over(in_term),
+            "n_any_term": F.sum(F.when(F.col("exposure").isNotNull(), F.col("_cases")).otherwise(0)).over(in_term),
+        })
+        .filter(F.col("exposure").isNotNull())
     )
-    joined = (
-        pairs.join(per_drug.filter(F.col("n_exposed") >= min_cases), "exposure")
-        .join(per_term, ["level", "term"])
-        .withColumns({"n_cases": _total(reports.select("case_id").distinct()), "n_any": n_any})
+    n_any = _total(exposures.select("case_id").distinct()) if comparator == "unexposed" else F.lit(0)
+    joined = pairs.join(per_drug.filter(F.col("n_exposed") >= min_cases), "exposure").withColumns(
+        {"n_cases": _total(reports.select("case_id").distinct()), "n_any": n_any}
     )
     return joined.select(
         "level", "exposure", F.col("term").alias("signal_term"),
