@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,14 +27,17 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: `spark.checkpoint.dir`, or a temporary one where that is unset (tests)."""
+    """Folder every executor can reach: `spark.checkpoint.dir` of the session.
+
+    Only a local master, where driver and executors are one process, may do without: it gets a temporary folder.
+    """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
-    if configured:
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
+    current = configured or spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="casewatch-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
