@@ -6,10 +6,11 @@ common subsequence of their shingle sequences (the Jaccard measure of shingles k
 1. Texts with the same words form one group; only its smallest id goes on.
 2. Order MinHash: each of TABLES hash functions ranks the occurrence-labelled shingles; the PICKED smallest, in
    text order, make the table's key. Texts that share a key are candidates.
-3. Candidates are checked against pivots (the member of smallest rank under a per-round hash), never all against
+3. Candidates are checked against pivots (the member that shares buckets with most others), never all against
    all: a bucket of n texts gives at most n pairs a round. Linked texts merge into components. Buckets that still
    hold several components go through further rounds with other pivots; at last all remaining pairs of members
-   in different components are checked, so no candidate link that could join two components is left out.
+   in different components are checked, so no candidate link that could join two components is left out. Pairs
+   whose shingle histograms already differ too much for the threshold never leave that join.
 4. Every document gets the smallest id of its component as its class.
 
 A pair at the threshold shares no key with probability (1 - 0.8**5)**24, below 1e-4; more similar pairs less.
@@ -34,6 +35,7 @@ LEAST = 0.8
 TABLES = 24
 PICKED = 5
 ROUNDS = 3
+BINS = 64
 _ODD = (W.mix(np.arange(1, 257, dtype=np.uint64), 11) | np.uint64(1))
 
 
@@ -111,7 +113,10 @@ def aligned(x: list, y: list, least: float = LEAST) -> float:
 
 
 def signatures(docs: DataFrame, tables: int, picked: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, same, same2, codes, keys) of the documents with an id and words; codes are 16-bit word hashes."""
+    """(doc_id, n, same, same2, codes, keys, bins) of the documents with an id and words.
+
+    Codes are 16-bit word hashes; bins count the shingles by the first bits of their hash.
+    """
 
     def run(batches):
         for batch in batches:
@@ -122,20 +127,22 @@ def signatures(docs: DataFrame, tables: int, picked: int, id_col: str, text_col:
                 a, b = words.first[:-1], words.first[1:]
                 same, same2 = W.run_hashes(sums, a, b), W.run_hashes(again, a, b)
                 codes = (words.hashes >> np.uint64(48)).astype("<u2")
-                keys, n = [], np.maximum(b - a - SHINGLE + 1, 0)
+                keys, bins, n = [], [], np.maximum(b - a - SHINGLE + 1, 0)
                 for i, j in zip(a, b):
                     x = shingles(codes[i:j])
                     keys.append(order_keys(x, tables, picked) if len(x) else np.zeros(0, dtype=np.uint64))
+                    bins.append(np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=BINS))
                 at = np.flatnonzero(b > a)
                 ends = np.cumsum([0, *(len(keys[i]) for i in at)])
                 flat = np.concatenate([keys[i] for i in at]) if len(at) else np.zeros(0, dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0)[low:high].take(pa.array(at)), pa.array(n[at].astype(np.int32)), W.signed(same[at]), W.signed(same2[at]),
                     pa.array([codes[a[i] : b[i]].tobytes() for i in at], pa.binary()), W.lists(ends, W.signed(flat)),
-                ], ["doc_id", "n", "same", "same2", "codes", "keys"])
+                    W.lists(np.arange(len(at) + 1) * BINS, pa.array(np.concatenate([bins[i] for i in at]).astype(np.int32) if len(at) else np.zeros(0, dtype=np.int32))),
+                ], ["doc_id", "n", "same", "same2", "codes", "keys", "bins"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n int, same long, same2 long, codes binary, keys array<long>")
+    return source.mapInArrow(run, "doc_id long, n int, same long, same2 long, codes binary, keys array<long>, bins array<int>")
 
 
 def verified(pairs: DataFrame, codes: DataFrame, least: float) -> DataFrame:
@@ -161,6 +168,12 @@ def _close(one: str, two: str, least: float):
     return F.least(F.col(one), F.col(two)) >= F.lit(least) * F.greatest(F.col(one), F.col(two)) - F.lit(1e-9)
 
 
+def _may_overlap(least: float):
+    """Whether the bins allow the threshold: their difference is at most the number of shingles not in common."""
+    apart = F.aggregate(F.zip_with("bins", "other_bins", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    return apart <= (F.col("n") + F.col("pn")) * F.lit((1 - least) / (1 + least)) + F.lit(1e-6)
+
+
 def _labelled_members(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return members.withColumn("label", F.col("doc_id"))
@@ -168,6 +181,23 @@ def _labelled_members(members: DataFrame, labels: DataFrame | None) -> DataFrame
     return members.join(named, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
 
 
+def _pivots(open_: DataFrame, turn: int) -> DataFrame:
+    """(key, p, pn, pl): the member of each bucket that shares buckets with most others.
+
+    The source of many copies shares more keys with them than they with each other, so it comes first; later
+    rounds weigh by a random factor, to try others.
+    """
+    sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    company = open_.join(sizes, "key").groupBy("doc_id").agg(F.sum("size").alias("company"))
+    chance = F.lit(1.0) if turn == 0 else (F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(1 << 20)) + 1) / (1 << 20)
+    rank = F.struct(
+        (-F.col("company") * chance).alias("r"), F.xxhash64("doc_id", F.lit(turn)).alias("h"),
+        F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"),
+    )
+    best = open_.join(company, "doc_id").groupBy("key").agg(F.min(rank).alias("pivot"))
+    return best.select("key", "pivot.p", "pivot.pn", "pivot.pl")
+
+
 def near_duplicates(
     docs: DataFrame, least: float = LEAST, tables: int = TABLES, picked: int = PICKED, rounds: int = ROUNDS,
     id_col: str = "doc_id", text_col: str = "text",
@@ -185,27 +215,27 @@ def near_duplicates(
     members = W.stored(kept.join(shared, "key").select("key", "doc_id", "n").distinct(), "members")
     # codes of candidates only, once; later rounds read this small table
     wanted = members.select("doc_id").distinct()
-    codes = W.stored(table.select("doc_id", "codes").join(wanted, "doc_id").dropDuplicates(["doc_id"]), "codes")
+    codes = W.stored(table.select("doc_id", "codes", "bins").join(wanted, "doc_id").dropDuplicates(["doc_id"]), "codes")
 
     links, tried, labels = None, None, None
     for turn in range(rounds + 1):
         named = _labelled_members(members, labels)
         mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
         open_ = W.stored(named.join(mixed, "key"), "open")
+        if W.empty(open_):
+            break
         if turn < rounds:
-            rank = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("r"), F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"))
-            pivots = open_.groupBy("key").agg(F.min(rank).alias("pivot")).select("key", "pivot.p", "pivot.pn", "pivot.pl")
+            pivots = _pivots(open_, turn)
             pairs = open_.join(pivots, "key").where("label <> pl").where(_close("n", "pn", least))
         else:  # what is left: members of different components of one bucket
-            other = open_.select("key", F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"))
-            pairs = open_.join(other, "key").where("label < pl").where(_close("n", "pn", least))
+            binned = open_.join(codes.select("doc_id", "bins"), "doc_id")
+            other = binned.select("key", F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"), F.col("bins").alias("other_bins"))
+            pairs = binned.join(other, "key").where("label < pl").where(_close("n", "pn", least)).where(_may_overlap(least))
         pairs = pairs.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = W.stored(pairs, "pairs")
         if W.empty(pairs):
-            if turn == rounds:
-                break
             continue
         found = W.stored(verified(pairs, codes, least), "links").select("a", "b")
         tried = pairs if tried is None else tried.unionByName(pairs)
