@@ -10,7 +10,7 @@ common subsequence of their shingle sequences (the Jaccard measure of shingles k
    all: a bucket of n texts gives at most n pairs a round. Linked texts merge into components. Buckets that still
    hold several components go through further rounds with other pivots; at last all remaining pairs of members
    in different components are checked, so no candidate link that could join two components is left out. Pairs
-   whose shingle histograms already differ too much for the threshold never leave that join.
+   whose shingle bitmaps already differ too much for the threshold never leave that join.
 4. Every document gets the smallest id of its component as its class.
 
 A pair at the threshold shares no key with probability (1 - 0.8**8)**40, below 1e-3; at a similarity of 0.85 below 1e-5.
@@ -35,7 +35,7 @@ LEAST = 0.8
 TABLES = 40
 PICKED = 8
 ROUNDS = 3
-BINS = 64
+BITS = 1024
 _POWERS = W.powers(256)[0][:256].copy()
 _ODD = (W.mix(np.arange(1, 257, dtype=np.uint64), 11) | np.uint64(1))
 
@@ -119,7 +119,8 @@ def aligned(x: list, y: list, least: float = LEAST) -> float:
 def signatures(docs: DataFrame, tables: int, picked: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n, same, same2, codes, keys, bins) of the documents with an id and words.
 
-    Codes are 16-bit word hashes; bins count the shingles by the first bits of their hash.
+    Codes are 16-bit word hashes; bins hold, for each of 1024 values of the hash's first
+    bits, whether the number of such shingles is odd.
     """
 
     def run(batches):
@@ -135,18 +136,18 @@ def signatures(docs: DataFrame, tables: int, picked: int, id_col: str, text_col:
                 for i, j in zip(a, b):
                     x = shingles(codes[i:j])
                     keys.append(order_keys(x, tables, picked) if len(x) else np.zeros(0, dtype=np.uint64))
-                    bins.append(np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=BINS))
+                    bins.append(np.packbits(np.bincount((x >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1).view(np.int64))
                 at = np.flatnonzero(b > a)
                 ends = np.cumsum([0, *(len(keys[i]) for i in at)])
                 flat = np.concatenate([keys[i] for i in at]) if len(at) else np.zeros(0, dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0)[low:high].take(pa.array(at)), pa.array(n[at].astype(np.int32)), W.signed(same[at]), W.signed(same2[at]),
                     pa.array([codes[a[i] : b[i]].tobytes() for i in at], pa.binary()), W.lists(ends, W.signed(flat)),
-                    W.lists(np.arange(len(at) + 1) * BINS, pa.array(np.concatenate([bins[i] for i in at]).astype(np.int32) if len(at) else np.zeros(0, dtype=np.int32))),
+                    W.lists(np.arange(len(at) + 1) * (BITS // 64), pa.array(np.concatenate([bins[i] for i in at]) if len(at) else np.zeros(0, dtype=np.int64))),
                 ], ["doc_id", "n", "same", "same2", "codes", "keys", "bins"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n int, same long, same2 long, codes binary, keys array<long>, bins array<int>")
+    return source.mapInArrow(run, "doc_id long, n int, same long, same2 long, codes binary, keys array<long>, bins array<long>")
 
 
 def verified(pairs: DataFrame, codes: DataFrame, least: float) -> DataFrame:
@@ -173,8 +174,8 @@ def _close(one: str, two: str, least: float):
 
 
 def _may_overlap(least: float):
-    """Whether the bins allow the threshold: their difference is at most the number of shingles not in common."""
-    apart = F.aggregate(F.zip_with("bins", "other_bins", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    """Whether the bins allow the threshold: each bin that differs holds a shingle that is not in common."""
+    apart = sum((F.bit_count(F.col("bins")[i].bitwiseXOR(F.col("other_bins")[i])) for i in range(BITS // 64)), F.lit(0))
     return apart <= (F.col("n") + F.col("pn")) * F.lit((1 - least) / (1 + least)) + F.lit(1e-6)
 
 
