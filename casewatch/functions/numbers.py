@@ -6,6 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from casewatch import defaults as D
 from casewatch.functions.text import as_col, safe_double
@@ -80,6 +81,8 @@ def zero_fill(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     def filled(name: str) -> Column:
         if name not in present:
             return F.lit(0.0)
-        return F.coalesce(safe_double(F.col(f"`{name}`")), F.lit(0.0))
+        column = F.col(f"`{name}`")
+        number = safe_double(column) if isinstance(df.schema[name].dataType, StringType) else column.cast("double")
+        return F.coalesce(number, F.lit(0.0))
 
     return df.withColumns({name: filled(name) for name in columns})

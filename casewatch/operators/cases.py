@@ -11,6 +11,7 @@ from casewatch import defaults as D
 from casewatch.functions import reports as R
 from casewatch.functions.numbers import order_key
 from casewatch.functions.text import safe_double
+from casewatch.sources.binding import SERIOUS_FLAGS
 from casewatch.operators.exposure import Dictionary, flag_columns
 
 
@@ -55,8 +56,9 @@ def case_table(
 
 
 def report_age(df: DataFrame) -> Column:
-    """Age in years; converted when the table has a unit, else taken as it is."""
-    return R.age_to_years("age", "age_unit") if "age_unit" in df.columns else safe_double("age")
+    """Age in years: a column that holds years first, else the raw age, converted when the table has a unit."""
+    raw = R.age_to_years("age", "age_unit") if "age_unit" in df.columns else safe_double("age")
+    return F.coalesce(F.col("age_years"), raw) if "age_years" in df.columns else raw
 
 
 def subgroup_universe(
@@ -65,13 +67,16 @@ def subgroup_universe(
     outcomes: Iterable[int] = tuple(D.OUTCOME_TERMS),
     how: str = "exact",
     roles: Iterable[str] | None = None,
-    serious_flags: Sequence[str] = (),
+    serious_flags: Sequence[str] | None = None,
     multi: bool = False,
 ) -> DataFrame:
     """Case universe for subgroup signals: groups, exposure flags, outcome.
 
+    Seriousness comes from `serious_flags`, by default the sub-flags that the table has; without any it is null.
     With `multi`, a case reported with several sexes or regions yields one row per combination.
     """
+    if serious_flags is None:
+        serious_flags = [name for name in SERIOUS_FLAGS if name in reports.columns]
     sex_levels = ("F", "M", "Other")
     groups = {
         "sex_grp": (R.sex3("sex"), F.col("sex"), sex_levels),
@@ -81,7 +86,7 @@ def subgroup_universe(
     picks = {"_indication": indication, "_age": report_age(reports)}
     flags = flag_columns(dictionary, how, roles, prefix="exposed_")
     anys = {
-        "_serious": R.serious_row(serious_flags).cast("int") if serious_flags else F.lit(0),
+        "_serious": R.serious_row(serious_flags).cast("int") if serious_flags else F.lit(None).cast("int"),
         "outcome": R.is_outcome("pt_code", outcomes),
     }
     if not multi:
@@ -102,7 +107,7 @@ def subgroup_universe(
         *group_columns,
         R.age_band("_age").alias("age_group"),
         F.coalesce(level_label(F.col("_indication"), D.INDICATION_LEVELS), F.lit("Other")).alias("indication_grp"),
-        R.serious_label("_serious").alias("serious_grp"),
+        F.when(F.col("_serious").isNotNull(), R.serious_label("_serious")).alias("serious_grp"),
         *flags,
         "outcome",
     )

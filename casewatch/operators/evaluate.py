@@ -66,7 +66,7 @@ def discrimination(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str]
 
 def brier(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     gap = F.col(p) - F.col(y)
-    return df.agg(F.avg(gap * gap).alias("Brier"))
+    return finite_pairs(df, y, p).agg(F.avg(gap * gap).alias("Brier"))
 
 
 def metric_summary(df: DataFrame, dataset: str, y: str = "y", p: str = "p") -> DataFrame:

@@ -155,10 +155,15 @@ def ordered_signals(table: DataFrame, exposure_order: Sequence[str]) -> DataFram
     )
 
 
-def signal_index(reports: DataFrame, dictionary: Dictionary, **options) -> DataFrame:
-    """All levels and both exposure modes in one table, tagged '<level>-Class' / '<level>-Drug'."""
-    classes = signal_table(class_counts(reports, dictionary, **options), "Class")
-    drugs = signal_table(drug_counts(reports, dictionary, **options), "Drug")
+def signal_index(
+    reports: DataFrame, dictionary: Dictionary, class_options: Mapping | None = None, drug_options: Mapping | None = None, **options
+) -> DataFrame:
+    """All levels and both exposure modes in one table, tagged '<level>-Class' / '<level>-Drug'.
+
+    `options` go to both modes, `class_options` and `drug_options` to one.
+    """
+    classes = signal_table(class_counts(reports, dictionary, **options, **(class_options or {})), "Class")
+    drugs = signal_table(drug_counts(reports, dictionary, **options, **(drug_options or {})), "Drug")
     both = classes.unionByName(drugs, allowMissingColumns=True)
     return both.withColumn("level", F.concat_ws("-", "level", "exposure_level"))
 

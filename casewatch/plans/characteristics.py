@@ -11,7 +11,7 @@ from casewatch import defaults as D
 from casewatch.functions import reports as R
 from casewatch.functions.text import safe_double, upper_trim
 from casewatch.operators.cases import case_table, level_code, level_label, report_age
-from casewatch.operators.exposure import Dictionary, case_flags, flag_columns
+from casewatch.operators.exposure import Dictionary, case_flags, flag_columns, in_roles
 from casewatch.operators.filters import target_rows, with_roles
 
 SEX_LEVELS = ("F", "M", "Other")
@@ -59,9 +59,9 @@ def onset_cases(
 ) -> DataFrame:
     """Suspect-role rows per case: flags, outcome, shortest onset and its bin."""
     outcome = F.col("outcome") if "outcome" in reports.columns else R.is_outcome("pt_code", outcomes)
+    days = F.col("tto_days") if "tto_days" in reports.columns else R.tto_days("tto_pair", "tto_primary", "tto_any")
     cases = case_table(
-        with_roles(reports, roles), flag_columns(dictionary, how, None), {"outcome": outcome},
-        {"tto_days": F.col("tto_days")},
+        reports.filter(in_roles(roles)), flag_columns(dictionary, how, None), {"outcome": outcome}, {"tto_days": days},
     )
     return cases.withColumn("tto_bin", R.tto_bin("tto_days"))
 

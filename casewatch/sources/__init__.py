@@ -5,7 +5,7 @@ from casewatch.sources.binding import (
 )
 from casewatch.sources.files import profile, read_features, read_reports, write_features, write_table
 from casewatch.sources.lookups import (
-    dictionary_from_table, keep_classes, lookup_from_dict, read_lookup,
+    keep_classes, lookup_from_dict, read_lookup,
 )
 from casewatch.sources.specs import (
     ModelSpec, read_spec, spec_from_frame, write_manifest, write_spec,

@@ -22,8 +22,14 @@ class Logical:
     dtype: str | None = None
     optional: bool = False
     unique_like: str | None = None
+    omit: bool = False  # leave an absent optional column out instead of binding nulls
 
 
+# The seriousness sub-flags of a report.
+SERIOUS_FLAGS = (
+    "serious_death", "serious_life_threat", "serious_hospitalization", "serious_disability", "serious_congenital_anomaly",
+    "serious_other",
+)
 # Physical column names, first match wins.
 FIRST_SOURCE = (
     Logical("case_id", ("primaryid", "caseid")),
@@ -35,7 +41,8 @@ FIRST_SOURCE = (
     Logical("hlgt", ("hlgt_name",), "string", optional=True),
     Logical("soc", ("soc_name",), "string", optional=True),
     Logical("sex", ("sex_raw", "sex_std", "sex"), "string", optional=True),
-    Logical("age", ("age_years_raw", "age_years", "age"), "string", optional=True),
+    Logical("age_years", ("age_years_raw", "age_years"), "double", optional=True),
+    Logical("age", ("age",), "string", optional=True),
     Logical("age_unit", ("age_cod",), "string", optional=True),
     Logical("age_group", ("age_group",), "string", optional=True),
     Logical("indication", ("indi_pt_norm", "indi_pt"), "string", optional=True),
@@ -44,7 +51,8 @@ FIRST_SOURCE = (
     Logical("reporter_country", ("reporter_country",), "string", optional=True),
     Logical("event_dt", ("event_dt",), "string", optional=True),
     Logical("year", ("year",), "int", optional=True),
-    Logical("serious", ("serious_flag",), optional=True, unique_like="serious"),
+    Logical("serious", ("serious_flag",), optional=True),
+    *(Logical(name, (name,), "int", optional=True, omit=True) for name in SERIOUS_FLAGS),
 )
 ONSET_SOURCE = (
     Logical("case_id", ("primaryid",)),
@@ -119,4 +127,5 @@ def bind_columns(df: DataFrame, spec: Sequence[Logical], case_sensitive: bool =
             column = column.try_cast(logical.dtype)
         return column.alias(logical.name)
 
-    return df.select(*[bound(logical) for logical in spec])
+    kept = [x for x in spec if not (x.omit and resolve(df.columns, x, case_sensitive) is None)]
+    return df.select(*[bound(logical) for logical in kept])

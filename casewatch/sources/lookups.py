@@ -45,18 +45,3 @@ def lookup_from_dict(spark: SparkSession, mapping: Mapping[str, Iterable]) -> Da
 def keep_classes(lookup: DataFrame, classes: Iterable[str], label: str = "label") -> DataFrame:
     return lookup.filter(F.col(label).isin(list(classes)))
 
-
-def dictionary_from_table(
-    lookup: DataFrame, key: str = "key", label: str = "label", max_rows: int = 10_000
-) -> dict[str, tuple[str, ...]] | None:
-    """A lookup table as a plan-time dictionary, or None when it has more than `max_rows` rows.
-
-    Callers then use the join form of the operator, which has no such bound.
-    """
-    rows = lookup.select(F.upper(key).alias("k"), F.col(label).alias("l")).distinct().limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    out: dict[str, list[str]] = {}
-    for row in sorted(rows, key=lambda r: (r["l"], r["k"])):
-        out.setdefault(row["l"], []).append(row["k"])
-    return {name: tuple(keys) for name, keys in out.items()}

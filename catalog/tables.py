@@ -58,10 +58,7 @@ SELECT d.label, count(*) AS n FROM m JOIN (SELECT * FROM {CLASS_ROWS} v(label, k
 WHERE d.label <> 'Class B' GROUP BY 1""")
 def lookup_table(spark, sf_dir):
     lookup = SRC.keep_classes(SRC.lookup_from_dict(spark, DEMO_CLASSES), ["Class A", "Class C"])
-    dictionary = SRC.dictionary_from_table(lookup)
-    pairs = [(label, word) for label, words in dictionary.items() for word in words]
-    hits = F.array_compact(F.array(*[F.when(F.contains("drug", F.lit(w)), F.lit(label)) for label, w in pairs]))
-    return counted(report_table(spark, sf_dir).select(F.explode(hits).alias("label")), "label")
+    return counted(E.join_dictionary(report_table(spark, sf_dir), lookup, how="contains"), "label")
 
 
 FEATURES_SQL = f"""SELECT case_id, max(CASE WHEN {OUTCOME} THEN 1 ELSE 0 END) AS outcome,
@@ -221,18 +218,15 @@ def left_join_flag(spark, sf_dir):
     return counted(C.with_flag(C.universe(m), hits, "hit"), "hit")
 
 
-@query(CARRIER + """, l AS (SELECT DISTINCT p_size AS code, p_brand AS name FROM part WHERE p_partkey % 50 = 0 AND p_size < 10
-  AND p_brand < 'Brand#2'),
- codes AS (SELECT DISTINCT code FROM l WHERE code > 5), names AS (SELECT DISTINCT upper(name) AS name FROM l WHERE code <= 5)
+@query(CARRIER + """, codes AS (SELECT DISTINCT p_size AS code FROM part WHERE p_size BETWEEN 6 AND 9),
+ names AS (SELECT DISTINCT upper(p_brand) AS name FROM part WHERE p_size <= 5 AND p_brand < 'Brand#2')
 SELECT pt_code, pt, CASE WHEN pt_code IN (SELECT code FROM codes) OR upper(pt) IN (SELECT name FROM names) THEN 1 ELSE 0 END
   AS outcome, count(*) AS n FROM m GROUP BY 1, 2, 3""")
 def outcome_by_code_or_name(spark, sf_dir):
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").filter(
-        "p_partkey % 50 = 0 AND p_size < 10 AND p_brand < 'Brand#2'"
-    )
-    lookup = part.select(
-        F.when(F.col("p_size") > 5, F.col("p_size")).alias("code"),
-        F.when(F.col("p_size") <= 5, F.col("p_brand")).alias("name"),
+    # every part is a lookup row: some give a code, some a name, some neither
+    lookup = spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        F.when(F.col("p_size").between(6, 9), F.col("p_size")).alias("code"),
+        F.when((F.col("p_size") <= 5) & (F.col("p_brand") < "Brand#2"), F.col("p_brand")).alias("name"),
     )
     rows = C.outcome_by_code_or_name(report_table(spark, sf_dir), lookup)
     return counted(rows, "pt_code", "pt", "outcome")

@@ -54,12 +54,6 @@ def test_empty_lookup_name_never_matches(spark):
     assert got == {1: 1, 2: 1, 3: 0, 9: 0}
 
 
-def test_large_dictionary_falls_back_to_the_join(spark):
-    lookup = S.lookup_from_dict(spark, {"a": ["K1", "K2"], "b": ["K3"]})
-    assert S.dictionary_from_table(lookup) == {"a": ("K1", "K2"), "b": ("K3",)}
-    assert S.dictionary_from_table(lookup, max_rows=2) is None
-
-
 def test_spec_files(spark, tmp_path):
     path = tmp_path / "spec.json"
     path.write_text(json.dumps({"coefficients": {"x": 1.5, "y.z": -2}}, indent=2))
@@ -86,3 +80,32 @@ def test_profile(spark):
     df = spark.createDataFrame([("a", 1), ("a", 0), ("b", 1)], "k string, f int")
     assert {tuple(r) for r in S.profile(df, ["f"], "k").collect()} == {("a", 2, 1), ("b", 1, 1)}
     assert tuple(S.profile(df, ["f"]).first()) == (3, 2)
+
+
+def test_first_source_keeps_seriousness_and_years(spark):
+    from casewatch.operators import cases as C
+    from casewatch.sources.binding import FIRST_SOURCE, bind_columns
+
+    raw = spark.createDataFrame(
+        [(1, "d", "PS", 1, 5.0, "60", "MON", 1), (2, "d", "PS", 1, None, "60", "MON", 0)],
+        "primaryid long, drugname string, role_cod string, pt_code long, age_years double, age string, age_cod string, serious_death int",
+    )
+    bound = bind_columns(raw, FIRST_SOURCE)
+    cases = {r["case_id"]: r for r in C.subgroup_universe(bound).collect()}
+    assert cases[1]["serious_grp"] == "Serious" and cases[2]["serious_grp"] == "Non-serious"
+    ages = {r["case_id"]: r["y"] for r in bound.select("case_id", C.report_age(bound).alias("y")).collect()}
+    assert ages == {1: 5.0, 2: 5.0}
+    without = C.subgroup_universe(bind_columns(raw.drop("serious_death"), FIRST_SOURCE)).collect()
+    assert {r["serious_grp"] for r in without} == {None}
+
+
+def test_onset_source_reaches_the_onset_table(spark):
+    from casewatch.plans.characteristics import onset_cases
+    from casewatch.sources.binding import ONSET_SOURCE, bind_columns
+
+    raw = spark.createDataFrame(
+        [(1, "TACROLIMUS", "PS", "x", 1, None, 5.0)],
+        "primaryid long, drugname_u string, role_cod_u string, pt_u string, meddra_pt_code long, tto_onset_days_psss double, tto_onset_days_ps double",
+    )
+    row = onset_cases(bind_columns(raw, ONSET_SOURCE), roles=None).first()
+    assert row["tto_days"] == 5.0
