@@ -32,7 +32,7 @@ from casewatch.llm import words as W
 # Fixed value: the split pattern of byte-level vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = 1 << 62
-KEPT_WORDS = 300_000
+KEPT_WORDS = 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
