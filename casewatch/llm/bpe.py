@@ -6,8 +6,8 @@ the states along its path, so a prefix shared by many words is encoded once. The
 one token that ends it and can follow the last token of the prefix before it; whether two tokens may stand
 side by side is decided from the merges along their touching edges (`Vocabulary.fits`), without merging text.
 
-Words come from the tokenizer's own split pattern; special tokens are cut out first. Each task keeps a bounded
-map of encoded words, so memory does not grow with the input. No shuffle takes place.
+Words come from the tokenizer's own split pattern; special tokens are cut out first. Each Python worker keeps a
+bounded map of encoded words over its tasks, so memory does not grow with the input. No shuffle takes place.
 
 Nulls count as empty text and give no ids; rows are kept one for one, repeated rows and null ids included.
 """
@@ -32,7 +32,8 @@ from casewatch.llm import words as W
 # Fixed value: the split pattern of byte-level vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = 1 << 62
-KEPT_WORDS = 1_000_000
+TAIL = 4
+KEPT_WORDS = 600_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -74,7 +75,13 @@ class Vocabulary:
                 self.right[token] = [*self.right[b][:-1], (self.right[b][-1][0], rank), (token, NEVER)]
             else:
                 self.left[token] = self.right[token] = [(token, NEVER)]
-        self.longest = max(map(len, self.ids))
+        # Lengths, longest first, of the tokens that are longer than their last TAIL bytes, by these bytes.
+        lengths: dict[bytes, set[int]] = {}
+        for token in self.ids:
+            if len(token) > TAIL:
+                lengths.setdefault(token[-TAIL:], set()).add(len(token))
+        self.lengths = {tail: sorted(found, reverse=True) for tail, found in lengths.items()}
+        self.tails: dict[bytes, list[tuple[int, int | None]]] = {}
         self.memo: dict[int, bool] = {}
 
     def fits(self, before: int, after: int) -> bool:
@@ -100,7 +107,7 @@ class Vocabulary:
 
     def encode_distinct(self, distinct: list[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """(word, ids) for each word, by one depth-first pass over the trie of all words."""
-        get, longest, memo, fits = self.ids.get, self.longest, self.memo, self.fits
+        get, memo, fits, tails = self.ids.get, self.memo, self.fits, self.tails
         last: list[int] = []  # last token of each prefix on the current path
         from_: list[int] = []  # where that token starts
         previous = b""
@@ -112,17 +119,25 @@ class Vocabulary:
                 shared += 1
             del last[shared:], from_[shared:]
             for end in range(shared + 1, size + 1):
-                for start in range(end - longest if end > longest else 0, end):
-                    token = get(word[start:end])
-                    if token is None:
+                tail = word[end - TAIL if end > TAIL else 0 : end]
+                ending = tails.get(tail)
+                if ending is None:
+                    ending = self._ending(tail)
+                for length, token in ending:
+                    start = end - length
+                    if start < 0:
                         continue
+                    if token is None:
+                        token = get(word[start:end])
+                        if token is None:
+                            continue
                     if start:
-                        before = last[start - 1]
-                        fit = memo.get(before << 20 | token)
+                        pair = last[start - 1] << 20 | token
+                        fit = memo.get(pair)
                         if fit is None:
                             if len(memo) > KEPT_WORDS:
                                 memo.clear()
-                            fit = memo[before << 20 | token] = fits(before, token)
+                            fit = memo[pair] = fits(last[start - 1], token)
                         if not fit:
                             continue
                     last.append(token)
@@ -136,6 +151,18 @@ class Vocabulary:
             out.reverse()
             yield word, out
 
+    def _ending(self, tail: bytes) -> list[tuple[int, int | None]]:
+        """(length, token) of the tokens that can end a prefix with this tail, longest first.
+
+        The token is None where it is longer than the tail and must be looked up. Kept for later words.
+        """
+        if len(self.tails) > KEPT_WORDS:
+            self.tails.clear()
+        longer = [(n, None) for n in self.lengths.get(tail, ())]
+        within = [(len(tail) - k, self.ids[tail[k:]]) for k in range(len(tail)) if tail[k:] in self.ids]
+        self.tails[tail] = longer + within
+        return self.tails[tail]
+
     def pieces(self, text: str, pattern=regex.compile(PATTERN)) -> list[str]:
         """The words of a text in order; special tokens are words of their own."""
         if self.cut is None or not self.cut.search(text):
@@ -155,65 +182,113 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
+def kept_coder(path: str, value: Callable, join: Callable) -> Coder:
+    """The worker's coder of this kind; a new worker starts with an empty one, so results never depend on it."""
+    key = (path, value.__name__)
+    if key not in _loaded:
+        _loaded[key] = Coder(path, value, join)
+    return _loaded[key]
+
+
 class Coder:
-    """Encoded parts of the texts of one task.
+    """Encoded parts of texts, kept from task to task of a Python worker.
 
     A part is what stands between single spaces or line ends, with its space or line end; the split pattern never
     joins across such a border unless two white spaces meet there, and texts with those are split as a whole.
-    `value(ids, vocabulary)` says what is kept of a word, `join(values)` of several.
+    `value(ids, vocabulary)` says what is kept of a word, `join(values)` of several. Parts are kept by a key: the
+    part without its space, or after a NUL where it has none; words by the key of the part that they alone would
+    be, those with a NUL or with white space at an end after two NULs. At `KEPT_WORDS` keys the map becomes the older one, from which keys move back
+    when they are met again; the older one before it is dropped.
     """
 
     def __init__(self, path: str, value: Callable, join: Callable):
         self.vocabulary, self.value, self.join = vocabulary(path), value, join
-        self.parts: dict[str, object] = {}
-        self.known: dict[str, object] = {}
+        self.kept: dict[str, object] = {}
+        self.older: dict[str, object] = {}
 
-    def texts(self, texts: list[str]) -> Iterator[list]:
+    def texts(self, texts: list[str]) -> list[list]:
         """The values of each text's parts in order; new words of all texts are encoded together."""
-        if len(self.parts) > KEPT_WORDS:
-            self.parts = {}
-        if len(self.known) > KEPT_WORDS:
-            self.known = {}
+        if len(self.kept) > KEPT_WORDS:
+            self.kept, self.older = {}, self.kept
         cut = [self._cut(t) for t in texts]
-        new = {p for parts in cut if type(parts) is list for p in parts if p not in self.parts}
-        # the first part of a text has no space before it; it is marked by a leading NUL
-        inside = {p: self.vocabulary.pieces(p if p[0] == "\n" else p[1:] if p[0] == "\0" else f" {p}") for p in new}
-        whole = [self.vocabulary.pieces(parts) if type(parts) is str else None for parts in cut]
-        unknown = set().union(*inside.values(), *(w for w in whole if w)).difference(self.known)
-        for s in unknown & self.vocabulary.special.keys():
-            self.known[s] = self.value([self.vocabulary.special[s]], self.vocabulary)
-            unknown.discard(s)
-        for word, ids in self.vocabulary.encode_distinct([w.encode() for w in unknown]):
-            self.known[word.decode()] = self.value(ids, self.vocabulary)
-        known = self.known.__getitem__
-        for p, words in inside.items():
-            self.parts[p] = self.join([*map(known, words)])
-        part = self.parts.__getitem__
-        for parts, words in zip(cut, whole):
-            yield [*map(known, words)] if words is not None else [*map(part, parts)]
-
-    def _cut(self, text: str) -> list[str] | str:
-        """Parts of a text, or the text where it must be split as a whole."""
+        parts = {p: self._words(p) for p in self._new(set().union(*(c for c in cut if c is not None)))}
+        self._encode({k for keys in parts.values() if keys for k in keys})
+        for p, keys in parts.items():
+            if keys != [p]:
+                self.kept[p] = self.join([*map(self.kept.__getitem__, keys)]) if keys else None
+        values = [c and [*map(self.kept.__getitem__, c)] for c in cut]
+        whole = {
+            i: [*map(_key, self.vocabulary.pieces(texts[i]))] for i, found in enumerate(values) if found is None or None in found
+        }
+        self._encode(set().union(*whole.values()))
+        for i, keys in whole.items():
+            values[i] = [*map(self.kept.__getitem__, keys)]
+        return values
+
+    def _new(self, keys: set[str]) -> set[str]:
+        """The keys without a value; those of the older map move back."""
+        new = keys.difference(self.kept)
+        for k in [k for k in new if k in self.older]:
+            self.kept[k] = self.older[k]
+            new.discard(k)
+        return new
+
+    def _encode(self, keys: set[str]) -> None:
+        """Give each word a value."""
+        words = {_word(k): k for k in self._new(keys)}
+        for s in words.keys() & self.vocabulary.special.keys():
+            self.kept[words.pop(s)] = self.value([self.vocabulary.special[s]], self.vocabulary)
+        for word, ids in self.vocabulary.encode_distinct([w.encode() for w in words]):
+            self.kept[words[word.decode()]] = self.value(ids, self.vocabulary)
+
+    def _cut(self, text: str) -> list[str] | None:
+        """Keys of the parts of a text; None where it must be split as a whole."""
         if not text:
             return []
-        if "\0" in text or _MEETING(text) or (self.vocabulary.cut and self.vocabulary.cut.search(text)):
-            return text
+        if "\0" in text or any(s in text for s in self.vocabulary.special):
+            return None
         return f"\0{text}".replace("\n", " \n").split(" ")
 
+    def _words(self, part: str) -> list[str]:
+        """Keys of the words of a part; none where another white space touches it."""
+        plain = _PLAIN(part)
+        if plain:
+            return [plain[1], f"\0{plain[2]}"] if plain[2] else [part]
+        if _touched(part[1:] if part[:1] in ("\n", "\0") else part):
+            return []
+        return [*map(_key, self.vocabulary.pieces(_word(part)))]
+
+
+# Latin letters, then marks: two words at most whatever follows.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?%]*)").fullmatch
+
+
+def _key(word: str) -> str:
+    spaced = word[0] == " "
+    if "\0" in word or _touched(word[1:] if spaced else word):
+        return f"\0\0{word}"
+    return word[1:] if spaced else f"\0{word}"
+
+
+def _touched(bare: str) -> bool:
+    """Whether white space begins or ends a part, or it is nothing."""
+    return not bare or bare[0].isspace() or bare[-1].isspace()
+
 
-_MEETING = re.compile(r"\s\s|\A\s|\s\Z").search
+def _word(key: str) -> str:
+    return key[2:] if key[:2] == "\0\0" else key[1:] if key[0] == "\0" else key if key[0] == "\n" else f" {key}"
 
 
 def id_bytes(ids: list[int], _: Vocabulary) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def id_text(ids: list[int], v: Vocabulary) -> tuple[str, int, bytes]:
-    return ",".join(map(str, ids)), len(ids), b"".join(map(v.bytes_of.__getitem__, ids))
+def id_text(ids: list[int], v: Vocabulary) -> tuple[str, bytes]:
+    return ",".join(map(str, ids)), b"".join(map(v.bytes_of.__getitem__, ids))
 
 
-def join_texts(values: list[tuple[str, int, bytes]]) -> tuple[str, int, bytes]:
-    return ",".join([v[0] for v in values]), sum(v[1] for v in values), b"".join([v[2] for v in values])
+def join_texts(values: list[tuple[str, bytes]]) -> tuple[str, bytes]:
+    return ",".join([v[0] for v in values]), b"".join([v[1] for v in values])
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
@@ -227,7 +302,7 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
     W.small_batches(docs.sparkSession)
 
     def run(batches):
-        coder = Coder(vocabulary_path, id_bytes, b"".join)
+        coder = kept_coder(vocabulary_path, id_bytes, b"".join)
         for batch in batches:
             for low, high, texts in _texts(batch.column(1)):
                 packed = [b"".join(x) for x in coder.texts(texts)]
@@ -259,15 +334,15 @@ def round_trip(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", te
     W.small_batches(docs.sparkSession)
 
     def run(batches):
-        coder = Coder(vocabulary_path, id_text, join_texts)
+        coder = kept_coder(vocabulary_path, id_text, join_texts)
         for batch in batches:
             for low, high, texts in _texts(batch.column(1)):
                 n, ids, decoded = [], [], []
                 for values in coder.texts(texts):
-                    n.append(sum(v[1] for v in values))
-                    ids.append(hashlib.sha256(",".join([v[0] for v in values]).encode()).hexdigest())
-                    back = b"".join([v[2] for v in values]).decode("utf-8", "replace")
-                    decoded.append(hashlib.sha256(back.encode()).hexdigest())
+                    listed, back = join_texts(values)
+                    n.append(listed.count(",") + 1 if listed else 0)
+                    ids.append(hashlib.sha256(listed.encode()).hexdigest())
+                    decoded.append(hashlib.sha256(back.decode("utf-8", "replace").encode()).hexdigest())
                 columns = [batch.column(0)[low:high], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
