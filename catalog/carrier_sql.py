@@ -1,5 +1,7 @@
 """The derived report table as SQL: the same columns as `casewatch.plans.carrier.report_table`."""
 
+from casewatch import defaults as D
+
 CARRIER = """
 WITH m AS (
   SELECT l_orderkey AS case_id, upper(p_name) AS drug,
@@ -28,18 +30,18 @@ WITH m AS (
   JOIN region ON n_regionkey = r_regionkey
 )"""
 
-NORM = r"trim(regexp_replace(regexp_replace(upper(coalesce({0}, '')), '[^A-Z0-9 \-\+]', ' ', 'g'), '\s+', ' ', 'g'))"
-
-# Indication keyword alternations.
-TRANSPLANT = (
-    "(TRANSPLANT|TRANSPLANTATION|GRAFT|RENAL TRANSPLANT|KIDNEY TRANSPLANT|HEART TRANSPLANT|LIVER TRANSPLANT"
-    "|PANCREAS TRANSPLANT|BONE MARROW TRANSPLANT|HSCT|SCT)"
-)
-AUTOIMMUNE = (
-    "(SYSTEMIC LUPUS|LUPUS|SLE|RHEUMATOID ARTHRITIS|RA|PSORIASIS|PSORIATIC|ANKYLOSING SPONDYLITIS|CROHN"
-    "|ULCERATIVE COLITIS|IBD|INFLAMMATORY BOWEL|VASCULITIS|ANCA|MULTIPLE SCLEROSIS|MYASTHENIA|SJOGREN|SCLERODERMA"
-    "|DERMATOMYOSITIS|POLYMYOSITIS|AUTOIMMUNE|IGA NEPHROPATHY|LUPUS NEPHRITIS)"
-)
+NORM = r"trim(regexp_replace(upper(coalesce({0}, '')), '[^A-Z0-9+\-]+', ' ', 'g'))"
+
+TRANSPLANT, AUTOIMMUNE = (f"({'|'.join(words)})" for words in (D.TRANSPLANT_WORDS, D.AUTOIMMUNE_WORDS))
+
+# Age bands with the closed range of years of each.
+AGE_BANDS = "(VALUES ('<18', 0, 18), ('18-39', 18, 39), ('40-64', 40, 64), ('65+', 65, 'infinity'::DOUBLE)) bands(label, low, high)"
+
+
+def band_of(age: str) -> str:
+    """The band of a positive age: of two that share a border, the later one; none between bands."""
+    return f"(SELECT arg_max(label, low) FROM {AGE_BANDS} WHERE {age} > 0 AND {age} BETWEEN low AND high)"
+
 
 # The demonstration dictionaries in SQL.
 CLASS_TESTS = {

@@ -15,7 +15,7 @@ from casewatch.session import cut_lineage, scratch_path
 from casewatch.sources import (
     PORTABLE_SOURCE, ModelSpec, bind_columns, read_spec, write_manifest, write_spec,
 )
-from catalog.carrier_sql import AUTOIMMUNE, CARRIER, MOLECULE_TESTS, OUTCOME, TRANSPLANT, flag_list, r6
+from catalog.carrier_sql import AUTOIMMUNE, CARRIER, MOLECULE_TESTS, OUTCOME, TRANSPLANT, band_of, flag_list, r6
 from catalog.evaluation import curve_sql
 from catalog.registry import query, rounded
 from catalog.signals import AGE_OF
@@ -39,10 +39,6 @@ def features(spark, sf_dir, rows="drug", extra=()):
     )
 
 
-BANDS = """CASE WHEN {0} <= 0 THEN NULL WHEN {0} < 18 THEN '<18' WHEN {0} BETWEEN 18 AND 39 THEN '18-39'
- WHEN {0} BETWEEN 40 AND 64 THEN '40-64' WHEN {0} >= 65 THEN '65+' END"""
-
-
 def feature_sql(rows: str) -> str:
     """One row per case from the kept rows; attributes by smallest level among the given values."""
     return f""", r AS (SELECT * FROM m WHERE role IN ('PS', 'SS') AND ({rows})),
@@ -54,7 +50,7 @@ def feature_sql(rows: str) -> str:
   min(CASE WHEN regexp_matches(indication, '{TRANSPLANT}') THEN 2 WHEN regexp_matches(indication, '{AUTOIMMUNE}') THEN 3
    WHEN indication IS NOT NULL THEN 1 END) AS ig, max(coalesce(serious_death, 0)) AS serious, min(tto_days) AS tto_days FROM r GROUP BY 1),
  c AS (SELECT case_id, outcome, {', '.join(MOL_FLAGS)}, CASE sx WHEN 1 THEN 'F' WHEN 2 THEN 'M' WHEN 3 THEN 'Other' END AS sex,
-  {BANDS.format('age')} AS age_cat,
+  {band_of('age')} AS age_cat,
   CASE ig WHEN 2 THEN 'Transplantation' WHEN 3 THEN 'Autoimmune diseases' ELSE 'Other' END AS indication_grp, serious, tto_days, sx2
   FROM g)"""
 
@@ -394,26 +390,30 @@ def score_cases(spark, sf_dir):
     return rounded(V.predictions(first_features(spark, sf_dir), SPEC), "prob", "eta")
 
 
-@query(CARRIER + BOTH_ROWS + scored_sql(PORTABLE, "sc") + """, s AS (SELECT outcome AS y, greatest(least(prob, 1 - 1e-6), 1e-6) AS p FROM sc)"""
-       + curve_sql() + f""" SELECT 'first' AS dataset, 'AUROC' AS metric, {r6('auroc')} AS value FROM ro
- UNION ALL SELECT 'first', 'AUPRC', {r6('auprc')} FROM pr UNION ALL SELECT 'first', 'Brier', {r6('avg((p - y) ** 2)')} FROM s""")
+def measures_sql(dataset: str, features: str, source: str) -> str:
+    """Measures of one source, as a query of its own."""
+    return CARRIER + features + scored_sql(source, "sc") + """, s AS (SELECT outcome AS y, greatest(least(prob, 1 - 1e-6), 1e-6) AS p FROM sc)""" + curve_sql() + f"""
+ SELECT '{dataset}' AS dataset, 'AUROC' AS metric, {r6('auroc')} AS value FROM ro
+ UNION ALL SELECT '{dataset}', 'AUPRC', {r6('auprc')} FROM pr UNION ALL SELECT '{dataset}', 'Brier', {r6('avg((p - y) ** 2)')} FROM s"""
+
+
+@query(measures_sql("first", BOTH_ROWS, PORTABLE))
 def validate_first_source(spark, sf_dir):
     return rounded(V.validate({"first": first_features(spark, sf_dir)}, SPEC), "value")
 
 
-@query(CARRIER + SECOND_ROWS + scored_sql(SECOND_PORTABLE, "sc") + """, s AS (SELECT outcome AS y, greatest(least(prob, 1 - 1e-6), 1e-6) AS p FROM sc)"""
-       + curve_sql() + f""" SELECT 'second' AS dataset, 'AUROC' AS metric, {r6('auroc')} AS value FROM ro
- UNION ALL SELECT 'second', 'AUPRC', {r6('auprc')} FROM pr UNION ALL SELECT 'second', 'Brier', {r6('avg((p - y) ** 2)')} FROM s""")
+@query(measures_sql("second", SECOND_ROWS, SECOND_PORTABLE))
 def validate_second_source(spark, sf_dir):
     return rounded(V.validate({"second": second_features(spark, sf_dir)}, SPEC), "value")
 
 
-@query()
+@query(f"""SELECT * FROM ({measures_sql('first', BOTH_ROWS, PORTABLE)})
+ UNION ALL SELECT * FROM ({measures_sql('second', SECOND_ROWS, SECOND_PORTABLE)})""")
 def validate_two_sources(spark, sf_dir):
     tables = {"first": first_features(spark, sf_dir), "second": second_features(spark, sf_dir)}
     path = scratch_path(spark, "manifest")
     V.validation_manifest(spark, SPEC, tables, path, {"first": sf_dir, "second": sf_dir})
-    return V.validate(tables, SPEC)
+    return rounded(V.validate(tables, SPEC), "value")
 
 
 @query(CARRIER + BOTH_ROWS + scored_sql(PORTABLE, "sc") + f""", s AS (SELECT outcome AS y, prob AS p FROM sc),

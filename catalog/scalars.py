@@ -7,7 +7,7 @@ from casewatch import functions as fn
 from casewatch.operators.cases import stratum_defaults
 from casewatch.operators.exposure import flag_columns
 from casewatch.plans.carrier import DEMO_CLASSES, DEMO_OUTCOMES, report_table
-from catalog.carrier_sql import CARRIER, NORM, TRANSPLANT, AUTOIMMUNE, flags_sql, r6
+from catalog.carrier_sql import CARRIER, NORM, TRANSPLANT, AUTOIMMUNE, band_of, flags_sql, r6
 from catalog.registry import counted, query, rounded
 
 MESSY = "concat('  ', drug, ' (', lower(hlt), ')/', pt, ' +x- ')"
@@ -53,9 +53,7 @@ HALF_AGE = "try_cast(nullif(age, '') AS DOUBLE) / 2 - 1"
 
 
 @query(CARRIER + f""", i AS (SELECT {HALF_AGE} AS years FROM m)
-SELECT years, CASE WHEN years IS NULL OR years <= 0 THEN NULL WHEN years < 18 THEN '<18'
-  WHEN years BETWEEN 18 AND 39 THEN '18-39' WHEN years BETWEEN 40 AND 64 THEN '40-64'
-  WHEN years >= 65 THEN '65+' END AS band, count(*) AS n FROM i GROUP BY 1, 2""")
+SELECT years, {band_of('years')} AS band, count(*) AS n FROM i GROUP BY 1, 2""")
 def age_band(spark, sf_dir):
     m = report_table(spark, sf_dir).select(F.expr(f"{HALF_AGE} AS years"))
     return counted(m.withColumn("band", fn.age_band("years")), "years", "band")
