@@ -13,6 +13,7 @@ from casewatch.functions.numbers import order_key
 from casewatch.functions.text import safe_double
 from casewatch.sources.binding import SERIOUS_FLAGS
 from casewatch.operators.exposure import Dictionary, flag_columns
+from casewatch.operators.folds import text_hash
 
 
 def universe(reports: DataFrame) -> DataFrame:
@@ -26,16 +27,27 @@ def representative(value: Column, order: Column | None = None) -> Column:
     return F.min_by(value, F.when(value.isNotNull(), order))
 
 
-def level_code(label: Column, levels: Sequence[str], when: Column) -> Column:
-    """Label as its position in the level order, null where `when` is false.
+def value_code(position: Column, raw: Column, by_value: bool = False) -> Column:
+    """A reported value as one number, of which the smallest represents a case; null where `raw` is.
 
-    Aggregating small integers keeps the case table a hash aggregate; text would need a sort.
+    By default it is the position (below 16) of the level, so the first level wins. With `by_value` a hash of the
+    raw text stands before it, which picks one of the values without favouring a level. Aggregating numbers keeps
+    the case table a hash aggregate; text would need a sort.
     """
-    return F.when(when, order_key(label, levels))
+    code = text_hash(raw.cast("string")) * 16 + position if by_value else position
+    return F.when(raw.isNotNull(), code)
+
+
+def value_position(code: Column) -> Column:
+    return (code % 16).cast("int")
+
+
+def level_code(label: Column, levels: Sequence[str], raw: Column, by_value: bool = False) -> Column:
+    return value_code(order_key(label, levels), raw, by_value)
 
 
 def level_label(code: Column, levels: Sequence[str]) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in levels]), code - 1)
+    return F.get(F.array(*[F.lit(v) for v in levels]), value_position(code) - 1)
 
 
 def case_table(
@@ -69,9 +81,12 @@ def subgroup_universe(
     roles: Iterable[str] | None = None,
     serious_flags: Sequence[str] | None = None,
     multi: bool = False,
+    by_value: bool = False,
 ) -> DataFrame:
     """Case universe for subgroup signals: groups, exposure flags, outcome.
 
+    `by_value`: how one value represents a case that reports several (`value_code`).
+
     Seriousness comes from `serious_flags`, by default the sub-flags that the table has; without any it is null.
     With `multi`, a case reported with several sexes or regions yields one row per combination.
     """
@@ -82,7 +97,7 @@ def subgroup_universe(
         "sex_grp": (R.sex3("sex"), F.col("sex"), sex_levels),
         "region_grp": (R.region5("region"), F.col("region"), D.REGION_LEVELS),
     }
-    indication = level_code(R.indication_group("indication"), D.INDICATION_LEVELS, F.col("indication").isNotNull())
+    indication = level_code(R.indication_group("indication"), D.INDICATION_LEVELS, F.col("indication"), by_value)
     picks = {"_indication": indication, "_age": report_age(reports)}
     flags = flag_columns(dictionary, how, roles, prefix="exposed_")
     anys = {
@@ -90,7 +105,7 @@ def subgroup_universe(
         "outcome": R.is_outcome("pt_code", outcomes),
     }
     if not multi:
-        picks |= {f"_{name}": level_code(label, levels, source.isNotNull())
+        picks |= {f"_{name}": level_code(label, levels, source, by_value)
                   for name, (label, source, levels) in groups.items()}
     cases = case_table(reports, flags, anys, picks)
     if multi:

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from casewatch.functions.text import as_col
 
 
+def text_hash(text: Column) -> Column:
+    """32-bit hash of a text that any engine with MD5 reproduces."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+
 def fold_hash(key: Column | str, seed: int) -> Column:
-    """32-bit hash of the key and seed that any engine with MD5 reproduces."""
-    digest = F.md5(F.concat(as_col(key).cast("string"), F.lit(f":{seed}")).cast("binary"))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    return text_hash(F.concat(as_col(key).cast("string"), F.lit(f":{seed}")))
 
 
 def fold_of(key: Column | str, k: int, seed: int = 20251121) -> Column:

@@ -104,9 +104,17 @@ def portraits(
 
     The grid comes from exploding literal level lists. A molecule term the model lacks stays in
     `terms_used` with no effect, other absent terms are left out, and the unknown-sex level is
-    drawn only when the model has it.
+    drawn only when the model has it. A model term of the sex, age or indication factor that no
+    level stands for is an error: its effect would be lost.
     """
     beta = F.col("coefficients")
+    lost = F.array_except(
+        F.filter(F.map_keys(beta), lambda t: t.rlike("^(sex|age_cat|indication_grp)")),
+        F.array(*[F.lit(t) for m in (sexes, ages, indications) for t in m.values() if t], F.lit("")),
+    )
+    checked = F.when(F.size(lost) == 0, beta).otherwise(
+        F.raise_error(F.concat(F.lit("no portrait level for "), F.concat_ws(", ", lost))).cast("map<string,double>")
+    )
 
     def levels(name: str, mapping: Mapping[str, str | None]) -> Column:
         entry = [
@@ -115,7 +123,7 @@ def portraits(
         ]
         return F.inline(F.array(*entry))
 
-    grid = spec.select("intercept", "coefficients")
+    grid = spec.select("intercept", checked.alias("coefficients"))
     for name, mapping in (
         ("molecule", molecules), ("sex", sexes), ("age", ages), ("indication", indications)
     ):

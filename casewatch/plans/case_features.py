@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from casewatch import defaults as D
 from casewatch.functions import reports as R
 from casewatch.functions.text import upper_trim
-from casewatch.operators.cases import case_table, level_code, level_label, report_age
+from casewatch.operators.cases import case_table, level_code, level_label, report_age, value_code, value_position
 from casewatch.operators.exposure import Dictionary, flag_columns, in_roles
 from casewatch.operators.filters import any_exposure, non_serious, target_rows
 
 SEX_LEVELS = ("F", "M", "Other")
+MODEL_SEXES = ("Female", "Male", "Unknown")
 
 
 def every_word(dictionary: Dictionary) -> list[str]:
@@ -30,13 +31,16 @@ def case_features(
     rows: str = "drug",
     nonserious_only: bool = False,
     extra: Sequence[str] = (),
+    sex_levels: Sequence[str] = SEX_LEVELS,
+    by_value: bool = False,
 ) -> DataFrame:
     """One row per case: outcome, exposure flags, sex, age band, indication group, seriousness.
 
     `rows` says which report rows count: "drug" keeps rows naming a dictionary drug, so the outcome
     must be reported with one; "drug_or_outcome" keeps outcome rows of any drug as well and then
     drops cases without exposure. `extra` names columns (year, onset days, ...) of which one value per
-    case is kept. Missing sex and age stay null.
+    case is kept. Missing sex and age stay null. `sex_levels` (female, male, other) names the levels, and so the
+    model terms; `MODEL_SEXES` are those of the locked models and portraits. `by_value`: how one value represents a case (`value_code`).
     """
     outcomes = list(outcomes)
     if rows not in ("drug", "drug_or_outcome"):
@@ -50,9 +54,9 @@ def case_features(
         anys["serious"] = R.truthy("serious", dtype)
     indication = R.indication_group(upper_trim("indication"))
     picks = {
-        "_sex": level_code(R.sex3(upper_trim("sex")), SEX_LEVELS, F.col("sex").isNotNull()),
+        "_sex": level_code(R.sex3(upper_trim("sex"), sex_levels), sex_levels, F.col("sex"), by_value),
         "_age": report_age(reports),
-        "_indication": level_code(indication, D.INDICATION_LEVELS, F.col("indication").isNotNull()),
+        "_indication": level_code(indication, D.INDICATION_LEVELS, F.col("indication"), by_value),
         **{name: F.col(name) for name in extra},
     }
     cases = case_table(kept, flags, anys, picks)
@@ -62,7 +66,7 @@ def case_features(
         cases = non_serious(cases)
     return cases.select(
         "case_id", "outcome", *flags,
-        level_label(F.col("_sex"), SEX_LEVELS).alias("sex"),
+        level_label(F.col("_sex"), sex_levels).alias("sex"),
         R.age_band("_age").alias("age_cat"),
         F.coalesce(level_label(F.col("_indication"), D.INDICATION_LEVELS), F.lit("Other")).alias("indication_grp"),
         *(["serious"] if "serious" in cases.columns else []),
@@ -77,6 +81,7 @@ def portable_features(
     outcomes: Iterable[int] = tuple(D.OUTCOME_TERMS),
     roles: Iterable[str] | None = D.SUSPECT_ROLES,
     nonserious_only: bool = True,
+    by_value: bool = False,
 ) -> DataFrame:
     """The dummy columns a locked molecule-level model uses, the same for every source."""
     outcomes = list(outcomes)
@@ -85,14 +90,12 @@ def portable_features(
     anys = {"outcome": R.is_outcome("pt_code", outcomes)}
     if "serious" in reports.columns:
         anys["serious"] = R.truthy("serious", reports.schema["serious"].dataType)
-    male_first = F.when(R.sex_male("sex") == 1, 2).when(R.sex_unknown("sex") == 1, 3).when(
-        F.col("sex").isNotNull(), 1
-    )
+    male_first = F.when(R.sex_male("sex") == 1, 2).when(R.sex_unknown("sex") == 1, 3).otherwise(1)
     picks = {
-        "_sex": male_first,
+        "_sex": value_code(male_first, F.col("sex"), by_value),
         "_age": report_age(reports),
         "_indication": level_code(
-            R.indication_group(upper_trim("indication")), D.INDICATION_LEVELS, F.col("indication").isNotNull()
+            R.indication_group(upper_trim("indication")), D.INDICATION_LEVELS, F.col("indication"), by_value
         ),
     }
     cases = any_exposure(case_table(kept, flags, anys, picks), list(flags))
@@ -101,10 +104,10 @@ def portable_features(
     return cases.select(
         F.col("case_id").cast("string").alias("caseid"),
         "outcome",
-        F.coalesce(F.col("_sex") == 2, F.lit(False)).cast("int").alias("sexMale"),
-        F.coalesce(F.col("_sex") == 3, F.lit(False)).cast("int").alias("sexUnknown"),
+        F.coalesce(value_position(F.col("_sex")) == 2, F.lit(False)).cast("int").alias("sexMale"),
+        F.coalesce(value_position(F.col("_sex")) == 3, F.lit(False)).cast("int").alias("sexUnknown"),
         (R.age_band("_age") == "40-64").cast("int").alias("age_cat40.64"),
-        F.coalesce(F.col("_indication") == 2, F.lit(False)).cast("int").alias("indication_grpTransplantation"),
+        F.coalesce(value_position(F.col("_indication")) == 2, F.lit(False)).cast("int").alias("indication_grpTransplantation"),
         *flags,
         F.lit(source).alias("source"),
     )

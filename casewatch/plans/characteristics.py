@@ -45,7 +45,7 @@ def case_profile(
     if grain != "case":
         raise ValueError(f"grain must be 'case' or 'row', not {grain!r}")
     picks = dict(attributes)
-    picks["sex3"] = level_code(attributes["sex3"], SEX_LEVELS, F.col("sex").isNotNull())
+    picks["sex3"] = level_code(attributes["sex3"], SEX_LEVELS, F.col("sex"))
     cases = case_table(reports, flag_columns(dictionary, how, roles), None, picks)
     return cases.withColumn("sex3", F.coalesce(level_label(F.col("sex3"), SEX_LEVELS), F.lit("Other")))
 

@@ -1,5 +1,7 @@
 """The derived report table as SQL: the same columns as `casewatch.plans.carrier.report_table`."""
 
+import re
+
 from casewatch import defaults as D
 
 CARRIER = """
@@ -43,6 +45,15 @@ def band_of(age: str) -> str:
     return f"(SELECT arg_max(label, low) FROM {AGE_BANDS} WHERE {age} > 0 AND {age} BETWEEN low AND high)"
 
 
+def by_value(sql: str) -> str:
+    """The same query with one value of a case, by text hash, in place of its smallest level."""
+    raw = {"sx": "sex", "sx2": "sex", "rg": "region", "ig": "indication"}
+    return re.sub(
+        r"min\((CASE(?:(?!min\().)*END)\) AS (sx2?|rg|ig)\b",
+        lambda m: f"min(CAST('0x' || substr(md5({raw[m[2]]}), 1, 8) AS BIGINT) * 16 + {m[1]}) % 16 AS {m[2]}", sql, flags=re.DOTALL,
+    )
+
+
 # The demonstration dictionaries in SQL.
 CLASS_TESTS = {
     "flag_class_a": "(drug LIKE '%RED%' OR drug LIKE '%BLUE%')",

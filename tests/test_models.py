@@ -194,3 +194,30 @@ def test_recalibration(spark):
 def test_score_ignores_absent_features(spark):
     case = spark.createDataFrame([(1, 1)], "case_id long, outcome int")
     assert S.score(case, ModelSpec(0.0, {"nope": 3.0})).first()["prob"] == 0.5
+
+
+def test_trained_sex_term_reaches_the_male_portrait(spark):
+    from casewatch.operators import scoring as S
+    from casewatch.plans import case_features as CF
+    from casewatch.plans import design as DM
+
+    rows = [(i, "A", "PS", 1 if i % 3 == 0 else 9, "M" if i % 2 else "F", "40", "YR", "GRAFT") for i in range(60)]
+    reports = spark.createDataFrame(rows, "case_id long, drug string, role string, pt_code long, sex string, age string, age_unit string, indication string")
+    cases = CF.case_features(reports, {"a": ("A",)}, [1], sex_levels=CF.MODEL_SEXES)
+    terms = DM.design_matrix(cases, ("flag_a",), {"age_cat": ("40-64",), "sex": CF.MODEL_SEXES}).terms
+    assert "sexMale" in terms
+    refit = lambda term: spark.createDataFrame([("(Intercept)", 0.1), (term, 3.0)], "term string, OR double")
+    drawn = {r["sex"]: r["OR_combo"] for r in S.portraits(S.lock_spec(refit("sexMale"))).where("molecule = 'None'").collect()}
+    assert abs(drawn["Male"] - 3.0) < 1e-12 and drawn["Female"] == 1.0
+    with pytest.raises(Exception, match="no portrait level for sexM"):
+        S.portraits(S.lock_spec(refit("sexM"))).collect()
+
+
+def test_representative_does_not_favour_a_level(spark):
+    from casewatch.operators.cases import subgroup_universe
+
+    rows = [(i, "A", 1, "F", "US", v, "40", "YR") for i in range(200) for v in (f"HYPERTENSION {i}", f"GRAFT {i}")]
+    reports = spark.createDataFrame(rows, "case_id long, drug string, pt_code long, sex string, region string, indication string, age string, age_unit string")
+    groups = {r[0]: r[1] for r in subgroup_universe(reports, {"a": ("A",)}, [1], by_value=True).groupBy("indication_grp").count().collect()}
+    assert min(groups["Other"], groups["Transplantation"]) > 60
+    assert subgroup_universe(reports).count() == 200
