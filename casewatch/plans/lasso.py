@@ -1,14 +1,12 @@
-"""L1-penalised logistic path with cross-validation, on Spark ML fits over the collapsed design."""
+"""L1-penalised logistic path with cross-validation over the collapsed design."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +16,7 @@ from casewatch.operators.filters import require_two_classes
 from casewatch.operators.folds import fold_of
 from casewatch.operators.scoring import INTERCEPT
 from casewatch.plans.design import Design, collapse
+from casewatch.plans.path_solver import Exclusions, held_out_deviance, solve_paths
 from casewatch.session import cut_lineage
 
 SEED = 20251121
@@ -37,41 +36,49 @@ class Moments:
         return max((abs(g) / s for g, s in zip(self.gradient, self.sd) if s > 0), default=0.0) / self.n
 
 
-def moments(patterns: DataFrame, p: int) -> Moments:
-    """One aggregate; the result has a few numbers per term."""
+Cells = list[tuple[dict[str, int], np.ndarray]]
+
+
+def cell_sums(patterns: DataFrame, p: int, columns: Sequence[str] = ()) -> Cells:
+    """Cases, positives and three sums per term for each combination of the fold columns, in one aggregate."""
     sums = [F.sum("n").alias("n"), F.sum("pos").alias("pos")]
     for j in range(p):
         x = F.get("x", j)
         sums += [F.sum(F.col("n") * x).alias(f"s{j}"), F.sum(F.col("n") * x * x).alias(f"q{j}"),
                  F.sum(F.col("pos") * x).alias(f"g{j}")]
-    row = patterns.agg(*sums).first()
-    n, rate = float(row["n"]), row["pos"] / row["n"]
-    sd = tuple(math.sqrt(max(row[f"q{j}"] / n - (row[f"s{j}"] / n) ** 2, 0.0)) for j in range(p))
-    return Moments(n, rate, sd, tuple(row[f"g{j}"] - rate * row[f"s{j}"] for j in range(p)))
+    width = len(columns)
+    return [
+        (dict(zip(columns, row[:width])), np.array([v or 0 for v in row[width:]], float))
+        for row in patterns.groupBy(*columns).agg(*sums).collect()
+    ]
+
+
+def moments_of(cells: Cells, exclusions: Exclusions = ()) -> Moments:
+    """Moments of the patterns outside the excluded folds."""
+    total = sum(values for cell, values in cells if all(cell[column] != value for column, value in exclusions))
+    if not np.any(total):
+        raise ValueError("a training set has no cases")
+    n, rate = float(total[0]), float(total[1] / total[0])
+    s, q, g = total[2::3], total[3::3], total[4::3]
+    variance = np.maximum(q / n - (s / n) ** 2, 0.0)
+    return Moments(n, rate, tuple(np.sqrt(variance).tolist()), tuple((g - rate * s).tolist()))
+
+
+def moments(patterns: DataFrame, p: int) -> Moments:
+    """One aggregate; the result has a few numbers per term."""
+    return moments_of(cell_sums(patterns, p))
 
 
 def lambda_sequence(m: Moments, n_lambda: int = 100) -> list[float]:
     """Log-spaced penalties from the smallest one that removes every term."""
     smallest = 1e-4 if m.n > len(m.sd) else 1e-2
+    if m.lambda_max <= 0:
+        raise ValueError("no term varies together with the outcome")
     top = math.log(m.lambda_max)
     step = math.log(smallest) / max(n_lambda - 1, 1)
     return [math.exp(top + i * step) for i in range(n_lambda)]
 
 
-def weighted_points(patterns: DataFrame, sd: Sequence[float]) -> DataFrame:
-    """Two weighted rows per pattern, terms divided by their standard deviation.
-
-    Scaling happens here because the built-in standardisation takes weights differently.
-    """
-    scales = F.array(*[F.lit(1.0 / s if s > 0 else 0.0) for s in sd])
-    scaled = array_to_vector(F.zip_with("x", scales, lambda x, s: x * s))
-    halves = F.inline(F.array(
-        F.struct(F.lit(1.0).alias("label"), F.col("pos").cast("double").alias("weight")),
-        F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("pos")).cast("double").alias("weight")),
-    ))
-    return patterns.select(scaled.alias("features"), halves).filter("weight > 0")
-
-
 @dataclass(frozen=True)
 class Fit:
     penalty: float
@@ -79,24 +86,25 @@ class Fit:
     beta: tuple[float, ...]
 
 
-def fit_path(patterns: DataFrame, p: int, penalties: Sequence[float], parallelism: int = 8) -> list[Fit]:
-    """One fit per penalty; independent Spark ML jobs over the same small cached table."""
-    sd = moments(patterns, p).sd
-    points = weighted_points(patterns, sd).persist()
+def _solve(
+    patterns: DataFrame, sets: Sequence[Exclusions], measured: Sequence[Moments], penalties: Sequence[Sequence[float]]
+) -> list[list[Fit]]:
+    """A path per training set, all solved together."""
+    if any(not 0 < m.rate < 1 for m in measured):
+        raise ValueError("a training set needs both values of the outcome")
+    solved = solve_paths(
+        patterns, sets, np.array(penalties, float), np.array([m.sd for m in measured]).reshape(len(sets), -1),
+        np.array([m.rate for m in measured]), np.array([m.n for m in measured]),
+    )
+    return [
+        [Fit(float(penalty), float(row[0]), tuple(float(b) for b in row[1:])) for penalty, row in zip(pens, path)]
+        for pens, path in zip(penalties, solved)
+    ]
 
-    def fit(penalty: float) -> Fit:
-        model = LogisticRegression(
-            featuresCol="features", labelCol="label", weightCol="weight", regParam=penalty,
-            elasticNetParam=1.0, standardization=False, maxIter=500, tol=1e-10,
-        ).fit(points)
-        beta = tuple(float(b) / s if s > 0 else 0.0 for b, s in zip(model.coefficients.toArray(), sd))
-        return Fit(penalty, float(model.intercept), beta)
 
-    try:
-        with ThreadPool(parallelism) as pool:
-            return pool.map(fit, penalties)
-    finally:
-        points.unpersist()
+def fit_path(patterns: DataFrame, p: int, penalties: Sequence[float]) -> list[Fit]:
+    """One fit per penalty on all patterns; penalties from large to small converge fastest."""
+    return _solve(patterns, [()], [moments(patterns, p)], [list(penalties)])[0]
 
 
 def coefficient_frame(patterns: DataFrame, fits: dict[int, list[Fit]], fold: str) -> DataFrame:
@@ -140,65 +148,76 @@ class LassoPath:
         return chosen
 
 
-def lasso_path(
-    patterns: DataFrame,
-    terms: Sequence[str],
-    fold: str = "fold",
-    n_lambda: int = 100,
-    parallelism: int = 8,
-) -> LassoPath:
-    """Penalty path on all patterns, and deviance per penalty on each held-out fold.
+def cross_validated(
+    patterns: DataFrame, terms: Sequence[str], bases: Sequence[Exclusions], fold: str, n_lambda: int = 100
+) -> list[LassoPath]:
+    """One cross-validated path per base (the patterns without its folds), over the values of `fold`.
 
-    Runs one fit per penalty and fold. The held-out loss of all penalties is one join on the fold and
-    one aggregate; the curve has one row per penalty.
+    The paths of all bases and of all their folds are solved together; each base sets its own penalties. A
+    second pass gives the held-out deviance of all penalties. What reaches the driver is set by folds,
+    penalties and terms.
     """
     p = len(terms)
-    penalties = lambda_sequence(moments(patterns, p), n_lambda)
-    full = fit_path(patterns, p, penalties, parallelism)
-    fold_ids = sorted(r[0] for r in patterns.select(fold).distinct().collect())
-    held = {k: fit_path(patterns.filter(F.col(fold) != k), p, penalties, parallelism) for k in fold_ids}
-    # One row per fold and penalty: the size is set by the call.
-    models = F.broadcast(coefficient_frame(patterns, held, fold))
-    eta = F.col("eta")
-    # log(1 + exp(eta)) written so that neither sign overflows
-    softplus = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
-    deviance = 2.0 * (F.col("n") * softplus - F.col("pos") * eta)
-    losses = (
-        patterns.join(models, fold)
-        .withColumn("eta", linear_part())
-        .groupBy(fold, "i")
-        .agg(F.sum(deviance).alias("dev"), F.sum("n").alias("n"))
-        .withColumn("loss", F.col("dev") / F.col("n"))
-        .collect()
-    )
-    curve = []
-    for i, penalty in enumerate(penalties):
-        folds = [(r["loss"], r["n"]) for r in losses if r["i"] == i]
-        weight = sum(n for _, n in folds)
-        mean = sum(loss * n for loss, n in folds) / weight
-        spread = sum((loss - mean) ** 2 * n for loss, n in folds) / weight
-        curve.append((penalty, mean, math.sqrt(spread / max(len(folds) - 1, 1))))
+    columns = sorted({fold, *[column for base in bases for column, _ in base]})
+    cells = cell_sums(patterns, p, columns)
+    values = sorted({cell[fold] for cell, _ in cells})
+    sets: list[Exclusions] = []
+    measured: list[Moments] = []
+    penalties: list[list[float]] = []
+    for base in bases:
+        whole = moments_of(cells, base)
+        sequence = lambda_sequence(whole, n_lambda)
+        for exclusions in [base, *[(*base, (fold, v)) for v in values]]:
+            sets.append(exclusions)
+            measured.append(moments_of(cells, exclusions))
+            penalties.append(sequence)
+    fits = _solve(patterns, sets, measured, penalties)
+    size = len(values) + 1
+    held = [i for i in range(len(sets)) if i % size]
+    models = np.array([[(f.intercept, *f.beta) for f in fits[i]] for i in held])
+    deviance, weights = held_out_deviance(patterns, [sets[i] for i in held], models)
+    out = []
+    for b in range(len(bases)):
+        rows = slice(b * len(values), (b + 1) * len(values))
+        out.append(_chosen(patterns, terms, fits[b * size], deviance[rows], weights[rows]))
+    return out
+
+
+def _chosen(
+    patterns: DataFrame, terms: Sequence[str], fits: list[Fit], deviance: np.ndarray, weights: np.ndarray
+) -> LassoPath:
+    """Curve over the penalties and the two rules, from the deviance (folds, penalties) of folds with cases."""
+    filled = weights > 0
+    n = weights[filled][:, None]
+    loss = deviance[filled] / n
+    mean = (loss * n).sum(0) / n.sum()
+    spread = ((loss - mean) ** 2 * n).sum(0) / n.sum()
+    sd = np.sqrt(spread / max(len(n) - 1, 1))
+    curve = [(f.penalty, float(m), float(s)) for f, m, s in zip(fits, mean, sd)]
     best = min(curve, key=lambda row: row[1])
     within = max(row[0] for row in curve if row[1] <= best[1] + best[2])
     spark = patterns.sparkSession
-    path_rows = [
-        (t, f.penalty, math.log(f.penalty), b) for f in full for t, b in zip(terms, f.beta)
-    ]
+    path_rows = [(t, f.penalty, math.log(f.penalty), b) for f in fits for t, b in zip(terms, f.beta)]
     return LassoPath(
-        tuple(terms), full,
+        tuple(terms), fits,
         spark.createDataFrame(curve, "lambda double, cvm double, cvsd double"),
         spark.createDataFrame(path_rows, "feature string, lambda double, log_lambda double, coef double"),
         best[0], within,
     )
 
 
+def lasso_path(patterns: DataFrame, terms: Sequence[str], fold: str = "fold", n_lambda: int = 100) -> LassoPath:
+    """Penalty path on all patterns, and deviance per penalty on each held-out fold."""
+    return cross_validated(patterns, terms, [()], fold, n_lambda)[0]
+
+
 def with_folds(design: Design, outer: int, inner: int, key: str = "case_id", seed: int = SEED) -> Design:
     frame = design.frame.withColumns({"fold": fold_of(key, outer, seed), "inner": fold_of(key, inner, seed + 1)})
     return Design(frame, design.terms)
 
 
 def training_patterns(design: Design) -> DataFrame:
-    """Collapsed design with both fold columns, written once because hundreds of fits read it."""
+    """Collapsed design with both fold columns, written once because every pass of the fits reads it."""
     return cut_lineage(collapse(design, ["fold", "inner"]))
 
 
@@ -209,19 +228,13 @@ class OutOfFold:
 
 
 def oof_predict(
-    design: Design,
-    patterns: DataFrame,
-    n_lambda: int = 100,
-    parallelism: int = 8,
-    key: str = "case_id",
+    design: Design, patterns: DataFrame, n_lambda: int = 100, key: str = "case_id", rule: str = "1se"
 ) -> OutOfFold:
-    """Nested out-of-fold predictions: per outer fold an inner cross-validation picks lambda.1se."""
+    """Nested out-of-fold predictions: per outer fold an inner cross-validation picks the penalty by `rule`."""
     fold_ids = sorted(r[0] for r in patterns.select("fold").distinct().collect())
-    chosen = {}
-    for k in fold_ids:
-        train = patterns.filter(F.col("fold") != k)
-        chosen[k] = [lasso_path(train, design.terms, "inner", n_lambda, parallelism).at("1se")]
-    models = F.broadcast(coefficient_frame(patterns, chosen, "fold"))
+    paths = cross_validated(patterns, design.terms, [(("fold", k),) for k in fold_ids], "inner", n_lambda)
+    chosen = {k: [path.at(rule)] for k, path in zip(fold_ids, paths)}
+    models = F.broadcast(coefficient_frame(patterns, chosen, "fold"))  # one row per outer fold
     predictions = design.frame.join(models, "fold").select(
         F.col(key).alias("id"), "fold", "y", logistic(linear_part()).alias("p_hat")
     )
@@ -234,12 +247,12 @@ def check_outcome(design: Design) -> Design:
 
 
 def lasso_model(
-    design: Design, n_lambda: int = 100, folds: int = 10, parallelism: int = 8, key: str = "case_id"
+    design: Design, n_lambda: int = 100, folds: int = 10, key: str = "case_id"
 ) -> tuple[LassoPath, DataFrame, Design]:
     """Path over a design; also returns the written patterns and the design with folds."""
     folded = with_folds(check_outcome(design), folds, folds, key)
     patterns = training_patterns(folded)
-    return lasso_path(patterns, design.terms, "fold", n_lambda, parallelism), patterns, folded
+    return lasso_path(patterns, design.terms, "fold", n_lambda), patterns, folded
 
 
 def lock_manifest(path: LassoPath, dictionary, indication_levels: Sequence[str], seed: int = SEED) -> dict:

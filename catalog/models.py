@@ -25,7 +25,6 @@ from catalog.tables import second_source
 MOL_FLAGS = tuple(MOLECULE_TESTS)
 ANY_MOLECULE = " OR ".join(MOLECULE_TESTS.values())
 FACTORS = {"sex": ("F", "M"), "age_cat": D.AGE_LEVELS, "indication_grp": D.INDICATION_LEVELS}
-SMALL_GRID = {"n_lambda": 5, "folds": 3}
 
 
 def with_serious(spark, sf_dir):
@@ -174,19 +173,19 @@ def onset_as_predictor(spark, sf_dir):
 
 
 def demo_path(spark, sf_dir):
-    return L.lasso_model(demo_design(spark, sf_dir), **SMALL_GRID)
+    return L.lasso_model(demo_design(spark, sf_dir))
 
 
 # With one 0/1 predictor the penalised fit has a closed form: the two group rates move towards each
 # other until the score of the predictor equals the penalty.
 ONE_PATH = """, i AS (SELECT outcome AS y, flag_mol_red AS x,
-  CAST('0x' || substr(md5(CAST(case_id AS VARCHAR) || ':20251121'), 1, 8) AS BIGINT) % 3 + 1 AS fold FROM c),
+  CAST('0x' || substr(md5(CAST(case_id AS VARCHAR) || ':20251121'), 1, 8) AS BIGINT) % 10 + 1 AS fold FROM c),
  hold AS (SELECT fold, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS p, sum(x)::DOUBLE AS n1, sum(x * y)::DOUBLE AS y1 FROM i GROUP BY 1),
  whole AS (SELECT 0 AS fold, sum(n) AS n, sum(p) AS p, sum(n1) AS n1, sum(y1) AS y1 FROM hold),
  train AS (SELECT hold.fold, w.n - hold.n AS n, w.p - hold.p AS p, w.n1 - hold.n1 AS n1, w.y1 - hold.y1 AS y1 FROM hold, whole w
   UNION ALL SELECT * FROM whole),
  m1 AS (SELECT *, sqrt(n1 / n * (1 - n1 / n)) AS sd, y1 - p / n * n1 AS g FROM train),
- lam AS (SELECT k, exp(ln(abs(g) / sd / n) + k * ln(1e-4::DOUBLE) / 3) AS pen FROM m1, range(4) r(k) WHERE fold = 0),
+ lam AS (SELECT k, exp(ln(abs(g) / sd / n) + k * ln(1e-4::DOUBLE) / 99) AS pen FROM m1, range(100) r(k) WHERE fold = 0),
  f0 AS (SELECT fold, k, pen, n, p, n1, y1, CASE WHEN abs(g) / (n * sd) <= pen * (1 + 1e-12) THEN n1 * p / n
   ELSE y1 - sign(g) * pen * n * sd END AS e1 FROM m1, lam),
  fit AS (SELECT fold, k, pen, e1 / n1 AS p1, (p - e1) / (n - n1) AS p0 FROM f0)"""
@@ -195,9 +194,8 @@ ONE_PATH = """, i AS (SELECT outcome AS y, flag_mol_red AS x,
 @query(CARRIER + DRUG_ROWS + ONE_PATH + """ SELECT round(pen, 6) + 0.0 AS "lambda",
  round(ln(p1 / (1 - p1)) - ln(p0 / (1 - p0)), 4) + 0.0 AS coef FROM fit WHERE fold = 0""")
 def lasso_one_flag_path(spark, sf_dir):
-    design = L.with_folds(DM.design_matrix(features(spark, sf_dir), ("flag_mol_red",), {}), 3, 3)
-    patterns = L.training_patterns(design)
-    penalties = L.lambda_sequence(L.moments(patterns, 1), 4)
+    patterns, _ = one_flag_patterns(spark, sf_dir)
+    penalties = L.lambda_sequence(L.moments(patterns, 1))
     rows = [(f.penalty, f.beta[0]) for f in L.fit_path(patterns, 1, penalties)]
     fitted = spark.createDataFrame(rows, "lambda double, coef double")
     return rounded(rounded(fitted, "lambda"), "coef", digits=4)
@@ -207,10 +205,10 @@ def lasso_one_flag_path(spark, sf_dir):
   + (h.p - h.y1) * ln(p0) + (h.n - h.n1 - h.p + h.y1) * ln(1 - p0)) / h.n AS loss FROM fit JOIN hold h USING (fold)),
  l2 AS (SELECT k, pen, n, loss, sum(loss * n) OVER (PARTITION BY k) / sum(n) OVER (PARTITION BY k) AS cvm FROM l1)
  SELECT round(pen, 6) + 0.0 AS "lambda", round(max(cvm), 4) + 0.0 AS cvm,
- round(sqrt(sum((loss - cvm) ** 2 * n) / sum(n) / 2), 4) + 0.0 AS cvsd FROM l2 GROUP BY k, pen""")
+ round(sqrt(sum((loss - cvm) ** 2 * n) / sum(n) / 9), 4) + 0.0 AS cvsd FROM l2 GROUP BY k, pen""")
 def lasso_one_flag_cv_curve(spark, sf_dir):
     design = DM.design_matrix(features(spark, sf_dir), ("flag_mol_red",), {})
-    path, _, _ = L.lasso_model(design, n_lambda=4, folds=3)
+    path, _, _ = L.lasso_model(design)
     return rounded(rounded(path.curve, "lambda"), "cvm", "cvsd", digits=4)
 
 
@@ -244,9 +242,43 @@ def lasso_chosen_coefficients(spark, sf_dir):
 
 @query()
 def lasso_out_of_fold(spark, sf_dir):
-    design = L.with_folds(demo_design(spark, sf_dir), 2, 2)
-    out = L.oof_predict(design, L.training_patterns(design), n_lambda=4)
-    return out.predictions
+    design = L.with_folds(demo_design(spark, sf_dir), 10, 10)
+    return L.oof_predict(design, L.training_patterns(design)).predictions
+
+
+# The closed form for each outer fold and each inner fold of its training set.
+NESTED = """, i AS (SELECT case_id, outcome AS y, flag_mol_red AS x,
+  CAST('0x' || substr(md5(CAST(case_id AS VARCHAR) || ':20251121'), 1, 8) AS BIGINT) % 10 + 1 AS fold,
+  CAST('0x' || substr(md5(CAST(case_id AS VARCHAR) || ':20251122'), 1, 8) AS BIGINT) % 10 + 1 AS inn FROM c),
+ cell AS (SELECT fold, inn, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS p, sum(x)::DOUBLE AS n1, sum(x * y)::DOUBLE AS y1 FROM i GROUP BY 1, 2),
+ b AS (SELECT DISTINCT fold AS b FROM cell), j AS (SELECT DISTINCT inn AS j FROM cell),
+ hold AS (SELECT b, inn AS j, sum(n) AS n, sum(p) AS p, sum(n1) AS n1, sum(y1) AS y1 FROM b JOIN cell ON fold <> b GROUP BY 1, 2),
+ train AS (SELECT b, j.j, sum(n) AS n, sum(p) AS p, sum(n1) AS n1, sum(y1) AS y1 FROM hold JOIN j ON hold.j <> j.j GROUP BY 1, 2
+  UNION ALL SELECT b, 0, sum(n), sum(p), sum(n1), sum(y1) FROM hold GROUP BY 1),
+ m1 AS (SELECT *, sqrt(n1 / n * (1 - n1 / n)) AS sd, y1 - p / n * n1 AS g FROM train),
+ lam AS (SELECT b, k, exp(ln(abs(g) / sd / n) + k * ln(1e-4::DOUBLE) / 99) AS pen FROM m1, range(100) r(k) WHERE j = 0),
+ f0 AS (SELECT b, j, k, pen, n, p, n1, CASE WHEN abs(g) / (n * sd) <= pen * (1 + 1e-12) THEN n1 * p / n
+  ELSE y1 - sign(g) * pen * n * sd END AS e1 FROM m1 JOIN lam USING (b)),
+ fit AS (SELECT b, j, k, pen, e1 / n1 AS p1, (p - e1) / (n - n1) AS p0 FROM f0),
+ l1 AS (SELECT b, k, pen, h.n, -2 * (h.y1 * ln(p1) + (h.n1 - h.y1) * ln(1 - p1)
+  + (h.p - h.y1) * ln(p0) + (h.n - h.n1 - h.p + h.y1) * ln(1 - p0)) / h.n AS loss FROM fit JOIN hold h USING (b, j)),
+ l2 AS (SELECT *, sum(loss * n) OVER w / sum(n) OVER w AS cvm FROM l1 WINDOW w AS (PARTITION BY b, k)),
+ cv AS (SELECT b, k, max(pen) AS pen, max(cvm) AS cvm, sqrt(sum((loss - cvm) ** 2 * n) / sum(n) / (count(*) - 1)) AS cvsd FROM l2 GROUP BY 1, 2),
+ best AS (SELECT DISTINCT ON (b) b, k AS kmin, cvm + cvsd AS bound FROM cv ORDER BY b, cvm, k),
+ se AS (SELECT b, kmin, min(k) AS kse FROM cv JOIN best USING (b) WHERE cvm <= bound GROUP BY 1, 2)"""
+
+
+@query(CARRIER + DRUG_ROWS + NESTED + """ SELECT case_id AS id, CAST(fold AS INTEGER) AS fold, CAST(y AS INTEGER) AS y, r.rule,
+ round(CASE x WHEN 1 THEN p1 ELSE p0 END, 5) + 0.0 AS p_hat
+ FROM i JOIN se ON fold = se.b, (VALUES ('min'), ('1se')) r(rule) JOIN fit ON fit.b = i.fold AND fit.j = 0
+  AND fit.k = CASE r.rule WHEN 'min' THEN kmin ELSE kse END""")
+def lasso_one_flag_out_of_fold(spark, sf_dir):
+    design = L.with_folds(DM.design_matrix(features(spark, sf_dir), ("flag_mol_red",), {}), 10, 10)
+    patterns = L.training_patterns(design)
+    tables = [
+        L.oof_predict(design, patterns, rule=rule).predictions.withColumn("rule", F.lit(rule)) for rule in ("min", "1se")
+    ]
+    return rounded(tables[0].unionByName(tables[1]), "p_hat", digits=5)
 
 
 @query()
