@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 from casewatch import defaults as D
 from casewatch.functions.metrics import with_metrics
 from casewatch.functions.numbers import order_key
-from casewatch.functions.text import norm_text
+from casewatch.functions.text import match, norm_text
 from casewatch.operators.exposure import (
-    Dictionary, drug_exposures, exposed_flags, flag_labels, long_form,
+    Dictionary, drug_exposures, exposed_flags, flag_labels, in_roles, long_form,
 )
+from casewatch.session import cut_lineage
 
 TERM_COLUMNS = {"SOC": "soc", "HLGT": "hlgt", "HLT": "hlt", "PT": "pt"}
 
@@ -32,6 +34,44 @@ def case_terms(reports: DataFrame, levels: Mapping[str, str] = TERM_COLUMNS) ->
     )
 
 
+@dataclass(frozen=True)
+class SignalTables:
+    """Written tables that both exposure modes read, each derived from the reports once.
+
+    `terms`: distinct (case_id, level, term), with one row without level for each case; `pairs`: distinct
+    (case_id, drug) of drugs that the dictionary names, in the wanted roles.
+    """
+
+    terms: DataFrame
+    pairs: DataFrame
+
+    @property
+    def n_cases(self) -> Column:
+        return _total(self.terms.filter(F.col("level").isNull()))
+
+    @property
+    def case_terms(self) -> DataFrame:
+        return self.terms.filter(F.col("level").isNotNull())
+
+
+def signal_tables(
+    reports: DataFrame,
+    dictionary: Dictionary,
+    levels: Mapping[str, str] = TERM_COLUMNS,
+    how: str = "contains",
+    roles: Iterable[str] | None = D.SUSPECT_ROLES,
+) -> SignalTables:
+    """Write the two tables to the shared folder."""
+    entries = [F.struct(F.lit(k).alias("level"), F.col(c).alias("term")) for k, c in levels.items()]
+    case = F.struct(F.lit(None).cast("string").alias("level"), F.lit(None).cast("string").alias("term"))
+    terms = reports.select("case_id", F.inline(F.array(*entries, case))).filter(
+        F.col("level").isNull() | (F.length("term") > 0)
+    )
+    words = [word for words in dictionary.values() for word in words]
+    pairs = reports.filter(in_roles(roles) & match("drug", words, how)).select("case_id", "drug")
+    return SignalTables(cut_lineage(terms.distinct()), cut_lineage(pairs.distinct()))
+
+
 def _total(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1)).cast("bigint")).scalar()
 
@@ -56,14 +96,16 @@ def class_counts(
     levels: Mapping[str, str] = TERM_COLUMNS,
     how: str = "contains",
     roles: Iterable[str] | None = D.SUSPECT_ROLES,
+    tables: SignalTables | None = None,
 ) -> DataFrame:
     """Class x term counts for all levels: (level, exposure, signal_term, a, b, c, d).
 
     Exposure is held as one 0/1 column per class, so the term rows are joined to the exposed cases once
     and summed per term. Non-exposed and non-event cells come from the margins, so no absent pair is
-    ever formed.
+    ever formed. `tables` takes the written tables of the same dictionary, levels, match and roles.
     """
-    exposed = exposed_flags(reports, dictionary, how, roles)
+    tables = tables or signal_tables(reports, dictionary, levels, how, roles)
+    exposed = exposed_flags(tables.pairs, dictionary, how, None)
     labels = flag_labels(dictionary)
     margins = exposed.agg(
         F.struct(
@@ -72,7 +114,7 @@ def class_counts(
         )
     ).scalar()
     per_term = (
-        case_terms(reports, levels)
+        tables.case_terms
         .join(exposed.withColumn("_any", F.lit(1)), "case_id", "left")
         .groupBy("level", "term")
         .agg(
@@ -81,7 +123,7 @@ def class_counts(
             *[F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in labels],
         )
         .withColumn("_m", margins)
-        .withColumns({"n_cases": _total(reports.select("case_id").distinct()), "n_any": F.col("_m.n_any")})
+        .withColumns({"n_cases": tables.n_cases, "n_any": F.col("_m.n_any")})
     )
     long = long_form(
         per_term,
@@ -104,13 +146,15 @@ def drug_counts(
     how: str = "contains",
     roles: Iterable[str] | None = D.SUSPECT_ROLES,
     min_cases: int = 1,
+    tables: SignalTables | None = None,
 ) -> DataFrame:
     """Drug name x term counts of the observed pairs, same columns as `class_counts`.
 
     Both sides are distinct before the join on the case, so one case adds at most one row per pair of
     the result, however many report rows it has.
     """
-    exposures = drug_exposures(reports, dictionary, how, roles)
+    tables = tables or signal_tables(reports, dictionary, levels, how, roles)
+    exposures = drug_exposures(tables.pairs, dictionary, how, None)
     # One exposure per case is marked, so that sums over exposures can also count the case once.
     marked = exposures.withColumn(
         "_once", F.row_number().over(Window.partitionBy("case_id").orderBy("exposure")) == 1
@@ -119,7 +163,7 @@ def drug_counts(
     once = F.count_if(F.coalesce("_once", F.lit(True)))
     in_term = Window.partitionBy("level", "term")
     pairs = (
-        case_terms(reports, levels)
+        tables.case_terms
         .join(marked, "case_id", "left")
         .groupBy("level", "exposure", "term")
         .agg(F.count(F.lit(1)).alias("n_exposed_term"), once.alias("_cases"))
@@ -131,7 +175,7 @@ def drug_counts(
     )
     n_any = _total(exposures.select("case_id").distinct()) if comparator == "unexposed" else F.lit(0)
     joined = pairs.join(per_drug.filter(F.col("n_exposed") >= min_cases), "exposure").withColumns(
-        {"n_cases": _total(reports.select("case_id").distinct()), "n_any": n_any}
+        {"n_cases": tables.n_cases, "n_any": n_any}
     )
     return joined.select(
         "level", "exposure", F.col("term").alias("signal_term"),
@@ -160,10 +204,19 @@ def signal_index(
 ) -> DataFrame:
     """All levels and both exposure modes in one table, tagged '<level>-Class' / '<level>-Drug'.
 
-    `options` go to both modes, `class_options` and `drug_options` to one.
+    `options` go to both modes, `class_options` and `drug_options` to one. Modes that agree on levels, match and
+    roles share their written tables.
     """
-    classes = signal_table(class_counts(reports, dictionary, **options, **(class_options or {})), "Class")
-    drugs = signal_table(drug_counts(reports, dictionary, **options, **(drug_options or {})), "Drug")
+    for_class, for_drug = {**options, **(class_options or {})}, {**options, **(drug_options or {})}
+
+    def written(given: Mapping) -> dict:
+        return {k: given[k] for k in ("levels", "how", "roles") if k in given}
+
+    shared = signal_tables(reports, dictionary, **written(for_class))
+    same = written(for_class) == written(for_drug)
+    other = shared if same else signal_tables(reports, dictionary, **written(for_drug))
+    classes = signal_table(class_counts(reports, dictionary, tables=shared, **for_class), "Class")
+    drugs = signal_table(drug_counts(reports, dictionary, tables=other, **for_drug), "Drug")
     both = classes.unionByName(drugs, allowMissingColumns=True)
     return both.withColumn("level", F.concat_ws("-", "level", "exposure_level"))
 
