@@ -7,7 +7,8 @@ a score shared by most rows is one row.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import factorial
+from dataclasses import dataclass
+from math import factorial, lgamma
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,12 @@ def discrimination(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str]
 
     AUROC and AUPRC are null with one outcome class; all are null without any valid pair.
     """
-    ranked = running_totals(score_counts(df, y, p, by), "p", ["n", "pos"], by)
+    return discrimination_of(score_counts(df, y, p, by), by)
+
+
+def discrimination_of(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """`discrimination` from a written `score_counts` table."""
+    ranked = running_totals(counts, "p", ["n", "pos"], by)
     neg = (F.col("n") - F.col("pos")).cast("double")
     pos = F.col("pos").cast("double")
     neg_below = (F.col("n_upto") - F.col("pos_upto")).cast("double") - neg
@@ -108,7 +114,12 @@ def calibration_table(
     `closed="right"` puts a score on an edge into the lower bin, `"left"` into the upper one. A constant
     score gives one bin.
     """
-    binned = _binned(score_counts(df, y, p), bins, closed)
+    return calibration_of(score_counts(df, y, p), bins, closed)
+
+
+def calibration_of(counts: DataFrame, bins: int = 10, closed: str = "right") -> DataFrame:
+    """`calibration_table` from a written `score_counts` table."""
+    binned = _binned(counts, bins, closed)
     n, gap = F.col("n"), F.col("p") - F.col("low")
     grouped = binned.groupBy("bin", "low", "high").agg(
         F.sum("n").alias("n"), F.sum(n * F.col("p")).alias("_p"), F.sum("pos").alias("_pos"),
@@ -134,9 +145,35 @@ def chi_square_upper_tail(x: Column, df: int) -> Column:
     return F.exp(-half) * terms
 
 
+def chi_square_tail(x: Column, df: int) -> Column:
+    """P(chi-square > x): closed form for even degrees of freedom, the series of the incomplete gamma for odd ones.
+
+    The series is exact to about 1e-13; tails beyond x = 600 are far smaller than that and given as 0.
+    """
+    if df < 1:
+        raise ValueError("the number of degrees of freedom must be positive")
+    if df % 2 == 0:
+        return chi_square_upper_tail(x, df)
+    half, shape = x / 2, df / 2
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+    def grow(state: Column, i: Column) -> Column:
+        term = state["term"] * half / (i + F.lit(shape))
+        return F.struct(term.alias("term"), (state["total"] + term).alias("total"))
+
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(700)), start, grow, lambda state: state["total"])
+    below = F.exp(F.lit(shape) * F.ln(half) - half - F.lit(lgamma(shape + 1))) * series
+    return F.when(x <= 0, F.lit(1.0)).when(x > 600, F.lit(0.0)).otherwise(F.greatest(1 - below, F.lit(0.0)))
+
+
 def hosmer_lemeshow(df: DataFrame, y: str = "y", p: str = "p", groups: int = 10) -> DataFrame:
     """Goodness-of-fit statistic over quantile bins with groups - 2 degrees of freedom."""
-    binned = _binned(score_counts(df, y, p), groups, "right").groupBy("bin").agg(
+    return hosmer_lemeshow_of(score_counts(df, y, p), groups)
+
+
+def hosmer_lemeshow_of(counts: DataFrame, groups: int = 10) -> DataFrame:
+    """`hosmer_lemeshow` from a written `score_counts` table."""
+    binned = _binned(counts, groups, "right").groupBy("bin").agg(
         F.sum("n").alias("n"), F.sum("pos").cast("double").alias("o1"), F.sum(F.col("n") * F.col("p")).alias("e1")
     )
     o0, e0 = F.col("n") - F.col("o1"), F.col("n") - F.col("e1")
@@ -146,7 +183,7 @@ def hosmer_lemeshow(df: DataFrame, y: str = "y", p: str = "p", groups: int = 10)
     )
     return statistic.select(
         "statistic", F.lit(groups - 2).alias("df"),
-        chi_square_upper_tail(F.col("statistic"), groups - 2).alias("p_value"),
+        chi_square_tail(F.col("statistic"), groups - 2).alias("p_value"),
     )
 
 
@@ -158,9 +195,14 @@ def decision_curve(
     Each score is counted once, at the number of thresholds it reaches; the threshold rows then sum
     those counts, so rows are never multiplied by thresholds.
     """
+    return decision_curve_of(score_counts(df, y, p), thresholds)
+
+
+def decision_curve_of(counts: DataFrame, thresholds: Sequence[float] | None = None) -> DataFrame:
+    """`decision_curve` from a written `score_counts` table."""
     cuts = sorted(thresholds or [i / 100 for i in range(1, 100)])
     cut_array = F.array(*[F.lit(float(c)) for c in cuts])
-    reached = score_counts(df, y, p).groupBy(
+    reached = counts.groupBy(
         F.size(F.filter(cut_array, lambda cut: cut <= F.col("p"))).alias("reached")
     ).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     totals = reached.agg(F.sum("n").alias("n_all"))
@@ -176,3 +218,25 @@ def decision_curve(
     return grid.join(hits, "i", "left").select(
         "threshold", (tp / total - fp / total * (t / (1 - t))).alias("net_benefit")
     )
+
+
+@dataclass(frozen=True)
+class Evaluation:
+    """All measures of one prediction table."""
+
+    discrimination: DataFrame
+    calibration: DataFrame
+    hosmer_lemeshow: DataFrame
+    decision_curve: DataFrame
+
+
+def evaluate(
+    df: DataFrame, y: str = "y", p: str = "p", bins: int = 10, groups: int = 10,
+    thresholds: Sequence[float] | None = None,
+) -> Evaluation:
+    """Every measure from one written table of distinct scores, so the scores are derived once."""
+    counts = score_counts(df, y, p)
+    return Evaluation(
+        discrimination_of(counts), calibration_of(counts, bins), hosmer_lemeshow_of(counts, groups),
+        decision_curve_of(counts, thresholds),
+    )

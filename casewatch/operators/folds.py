@@ -25,10 +25,12 @@ def fold_of(key: Column | str, k: int, seed: int = 20251121) -> Column:
 def balanced_folds(df: DataFrame, key: str, k: int, seed: int = 20251121) -> DataFrame:
     """Folds whose sizes differ by at most one: rank in hash order, modulo k.
 
-    The rank is taken inside 256 equal hash ranges and shifted by the sizes of the ranges below. The input
-    is read twice, so pass a written table when its plan is long.
+    The rank is taken inside equal hash ranges, at least 256 and as many as shuffle partitions, and shifted by the
+    sizes of the ranges below. The input is read twice, so pass a written table when its plan is long.
     """
-    hashed = df.withColumn("_hash", fold_hash(key, seed)).withColumn("_range", F.shiftright("_hash", 24))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = max((partitions - 1).bit_length(), 8)
+    hashed = df.withColumn("_hash", fold_hash(key, seed)).withColumn("_range", F.shiftright("_hash", 32 - bits))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy("_hash", key))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = hashed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(

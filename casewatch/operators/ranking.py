@@ -11,21 +11,25 @@ from casewatch.session import cut_lineage
 
 
 def running_totals(
-    collapsed: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), n_cuts: int = 255
+    collapsed: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), n_cuts: int | None = None
 ) -> DataFrame:
     """Add `<x>_upto` (sum of x over values <= this one) and `<x>_all` (group total) for each x in `sums`.
 
     `collapsed` holds one row per (by, value); it is read three times, so pass a written table
     (`cut_lineage`). A fixed pseudo-random sample of the values cuts the
     value range into about equal buckets; sums run inside a bucket and start from the total of the
-    buckets below. The sample is chosen by hash, so a recomputed task sees the same cuts.
+    buckets below. The sample is chosen by hash, so a recomputed task sees the same cuts. Without `n_cuts` there are
+    at least 256 buckets, and as many as shuffle partitions where those are more.
     """
+    if n_cuts is None:
+        n_cuts = max(int(collapsed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 256) - 1
     cuts = (
         collapsed.select(value).distinct().orderBy(F.xxhash64(value)).limit(n_cuts)
         .agg(F.array_sort(F.collect_list(value)))
         .scalar()
     )
-    bucket = F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
+    # Counted by a fold: from `size(filter(...))` the optimizer infers a filter on integer values that the totals lack.
+    bucket = F.aggregate("_cuts", F.lit(0), lambda k, cut: k + F.when(cut < F.col(value), 1).otherwise(0))
     bucketed = collapsed.withColumn("_cuts", cuts).withColumn("_bucket", bucket).drop("_cuts")
     keys = [*by, "_bucket"]
     below = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -124,3 +124,26 @@ def test_folds(spark):
     a = {r["case_id"]: r["f"] for r in ids.select("case_id", fold_of("case_id", 10).alias("f")).collect()}
     b = {r["case_id"]: r["f"] for r in ids.filter("case_id % 2 = 0").select("case_id", fold_of("case_id", 10).alias("f")).collect()}
     assert all(a[k] == v for k, v in b.items()) and set(a.values()) == set(range(1, 11))
+
+
+def test_chi_square_tail_for_odd_degrees(spark):
+    # Upper 5% and 1% points.
+    for df, x, p in ((1, 3.841458820694124, 0.05), (7, 14.067140449340169, 0.05), (9, 21.665994333461924, 0.01)):
+        value = spark.range(1).select(EV.chi_square_tail(F.lit(x), df)).first()[0]
+        assert value == pytest.approx(p, abs=1e-10)
+    tails = spark.createDataFrame([(0.0,), (400.0,), (1e6,)], "x double").select(EV.chi_square_tail(F.col("x"), 3)).collect()
+    assert tails[0][0] == 1.0 and tails[1][0] < 1e-12 and tails[2][0] == 0.0
+
+
+def test_odd_number_of_groups(scored):
+    row = EV.hosmer_lemeshow(scored[2], groups=9).first()
+    assert row["df"] == 7 and 0 <= row["p_value"] <= 1
+
+
+def test_all_measures_from_one_table(scored):
+    df = scored[2]
+    every = EV.evaluate(df)
+    assert every.discrimination.collect() == EV.discrimination(df).collect()
+    assert sorted(every.calibration.collect()) == sorted(EV.calibration_table(df).collect())
+    assert every.hosmer_lemeshow.collect() == EV.hosmer_lemeshow(df).collect()
+    assert sorted(every.decision_curve.collect()) == sorted(EV.decision_curve(df).collect())
