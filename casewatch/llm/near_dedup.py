@@ -4,8 +4,11 @@ Similarity of two texts: m / (a + b - m), with a and b their numbers of shingles
 common subsequence of their shingle sequences (the Jaccard measure of shingles kept in order). Linked: 0.8 or more.
 
 1. Texts with the same words form one group; only its smallest id goes on.
-2. Order MinHash: each of TABLES hash functions ranks the occurrence-labelled shingles; the PICKED smallest, in
-   text order, make the table's key. Texts that share a key are candidates.
+2. Order MinHash: each of TABLES hash functions ranks the occurrence-labelled shingles of a text of more than SHORT;
+   the PICKED smallest, in text order, make the table's key. Texts that share a key are candidates. Shorter texts,
+   and those up to SHORT / 0.8 that may be linked to one, have an exact prefix filter instead: of n shingles the
+   n - ceil(0.8 n) + 1 rarest are keys of their own. Two linked texts have one of these in common, as each lacks
+   at most n - ceil(0.8 n) of its shingles in the other and both rank by the same counts.
 3. Candidates are checked against pivots (the member that shares buckets with most others), never all against
    all: a bucket of n texts gives at most n pairs a round. Linked texts merge into components. Buckets that still
    hold several components go through further rounds with other pivots; at last all remaining pairs of members
@@ -13,7 +16,9 @@ common subsequence of their shingle sequences (the Jaccard measure of shingles k
    whose shingle bitmaps already differ too much for the threshold never leave that join.
 4. Every document gets the smallest id of its component as its class.
 
-A pair at the threshold shares no key with probability (1 - 0.8**8)**40, below 1e-3; at a similarity of 0.85 below 1e-5.
+A linked pair with a text of at most SHORT shingles always shares a key. Of longer ones, m common of u shingles share
+none with probability (1 - C(m, 8) / C(u, 8))**40: at the threshold at most 1.6e-3 (52 of 65), below 1e-3 from 160
+shingles on and (1 - 0.8**8)**40 = 6e-4 in the limit; at a similarity of 0.85 below 2e-5.
 Texts without words are never duplicates; texts of one to four words only of equal ones. Null ids get no class
 (null). Rows that repeat an id belong to that id's text with the smallest hash for the class, and all are returned.
 """
@@ -35,6 +40,8 @@ LEAST = 0.8
 TABLES = 40
 PICKED = 8
 ROUNDS = 3
+SHORT = 64
+COUNTERS = 1 << 20  # of shingles of short texts by their hash; they only rank, so equal ones cost nothing but selectivity
 BITS = 1024
 _POWERS = W.powers(256)[0][:256].copy()
 _ODD = (W.mix(np.arange(1, 257, dtype=np.uint64), 11) | np.uint64(1))
@@ -76,6 +83,13 @@ def order_keys(x: np.ndarray, tables: int = TABLES, picked: int = PICKED) -> np.
     return W.mix(keys) + np.arange(tables, dtype=np.uint64)
 
 
+def prefix_keys(x: np.ndarray, counts: np.ndarray, least: float = LEAST) -> np.ndarray:
+    """The rarest labelled shingles, so many that two texts of the similarity `least` have one in common."""
+    marked, n = labelled(x), len(x)
+    order = np.lexsort((marked, counts[marked % np.uint64(len(counts))]))
+    return W.mix(marked[order[: n - math.ceil(least * n - 1e-9) + 1]], 41)
+
+
 def needed(a: int, b: int, least: float) -> int:
     return math.ceil(least * (a + b) / (1 + least) - 1e-9)
 
@@ -119,7 +133,7 @@ def aligned(x: list, y: list, least: float = LEAST) -> float:
 def signatures(docs: DataFrame, tables: int, picked: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n, same, same2, codes, keys, bins) of the documents with an id and words.
 
-    Codes are 16-bit word hashes; bins hold, for each of 1024 values of the hash's first
+    Codes are 16-bit word hashes; keys are empty up to SHORT shingles; bins hold, for each of 1024 values of the hash's first
     bits, whether the number of such shingles is odd.
     """
 
@@ -135,7 +149,7 @@ def signatures(docs: DataFrame, tables: int, picked: int, id_col: str, text_col:
                 keys, bins, n = [], [], np.maximum(b - a - SHINGLE + 1, 0)
                 for i, j in zip(a, b):
                     x = shingles(codes[i:j])
-                    keys.append(order_keys(x, tables, picked) if len(x) else np.zeros(0, dtype=np.uint64))
+                    keys.append(order_keys(x, tables, picked) if len(x) > SHORT else np.zeros(0, dtype=np.uint64))
                     bins.append(np.packbits(np.bincount((x >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1).view(np.int64))
                 at = np.flatnonzero(b > a)
                 ends = np.cumsum([0, *(len(keys[i]) for i in at)])
@@ -150,6 +164,34 @@ def signatures(docs: DataFrame, tables: int, picked: int, id_col: str, text_col:
     return source.mapInArrow(run, "doc_id long, n int, same long, same2 long, codes binary, keys array<long>, bins array<long>")
 
 
+def short_keys(table: DataFrame, least: float) -> DataFrame:
+    """(doc_id, n, key) of the texts that are short or may be linked to a short one; the driver gets COUNTERS counts."""
+    short = table.where(F.col("n").between(1, int(SHORT / least + 1e-9))).select("doc_id", "n", "codes")
+
+    def count(batches):
+        counts = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            found = [labelled(shingles(np.frombuffer(c, dtype="<u2"))) for c in batch.column(0).to_pylist()]
+            if found:
+                counts += np.bincount((np.concatenate(found) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["counter", "size"])
+
+    totals = short.select("codes").mapInArrow(count, "counter long, size long").groupBy("counter").agg(F.sum("size").alias("size")).toArrow()
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    counts[totals.column(0).to_numpy()] = totals.column(1).to_numpy()
+    shared = table.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        for batch in batches:
+            found = [prefix_keys(shingles(np.frombuffer(c, dtype="<u2")), shared.value, least) for c in batch.column(2).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]), pa.int64())
+            keys = np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), W.signed(keys)], ["doc_id", "n", "key"])
+
+    return short.mapInArrow(run, "doc_id long, n int, key long")
+
+
 def verified(pairs: DataFrame, codes: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity) of the pairs that are linked."""
 
@@ -213,7 +255,7 @@ def near_duplicates(
     table = W.stored(signatures(docs, tables, picked, id_col, text_col), "signatures")
     groups = table.groupBy("same", "same2").agg(F.min("doc_id").alias("head"))
     heads = groups.select(F.col("head").alias("doc_id")).distinct()
-    buckets = table.select("doc_id", "n", F.explode("keys").alias("key"))
+    buckets = table.select("doc_id", "n", F.explode("keys").alias("key")).unionByName(short_keys(table, least))
     first = W.stored(table.join(groups, ["same", "same2"]).select("doc_id", "head").distinct(), "heads")
     kept = buckets.join(heads, "doc_id", "left_semi")
     shared = kept.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")

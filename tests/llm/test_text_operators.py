@@ -172,6 +172,27 @@ def test_near_duplicates_find_planted_copies(spark, odd, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_short_texts_against_brute_force(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    texts, line = [], [word() for _ in range(10)]
+    for n in [*range(5, 21), 30, 45, 60, 68, 80, 84] * 6:
+        base = [word() for _ in range(n)]
+        texts += [base, base + [word()], [word(), *base], [*base, word(), word()], base[: n - n // 8], line + base]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r[0]: r[1] for r in near_dedup.near_duplicates(frame).collect()}
+    grams = [[tuple(t[i : i + 5]) for i in range(len(t) - 4)] for t in texts]
+    want = list(range(len(texts)))
+    for i in range(0, len(texts), 6):  # copies of one base; line + base differ from other bases by more than is allowed
+        for a in range(i, i + 6):
+            for b in range(a + 1, i + 6):
+                x, y = grams[a], grams[b]
+                if texts[a] == texts[b] or x and y and near_dedup.aligned(x, y) >= 0.8:
+                    low, high = sorted((want[a], want[b]))
+                    want = [low if w == high else w for w in want]
+    assert got == dict(enumerate(want))
+
+
 def test_toxicity_on_held_out_rows(spark, odd, none):
     rng = random.Random(4)
     rows, labels = [], []
