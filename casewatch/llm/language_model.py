@@ -2,7 +2,7 @@
 
 Tokens are the words of a text with A-Z in lower case, then one end token; the first word follows a begin mark.
 
-1. Tasks count their (context, token) pairs and send them in shards by the pair's hash: sorted 40-bit words,
+1. Tasks count their (context, token) pairs and send them in shards by the pair's hash: sorted 64-bit words,
    delta-coded and packed. A shard is merged in one go; shards are cut by hash, so no word or pair makes one large.
 2. A merged shard writes its pair hashes and counts as arrays to the shared folder and passes on what its words
    need: token and continuation counts, and followers seen once, twice and more often. These are summed per word
@@ -32,9 +32,7 @@ from pyspark.sql import functions as F
 from casewatch import session
 from casewatch.llm import words as W
 
-WORD_BITS = 40  # a word's hash; equal hashes of two of n words are n * n / 2**41 pairs
-END, BEGIN = 1, 2
-_WORD = np.uint64((1 << WORD_BITS) - 1)
+END, BEGIN = 1, 2  # all other values are whole 64-bit hashes of words; of n words n * n / 2**65 pairs are equal
 _FEW = 255
 
 
@@ -61,7 +59,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     token = np.empty(total, dtype=np.uint64)
     is_word = np.ones(total, dtype=bool)
     is_word[ends] = False
-    token[is_word] = np.maximum(words.hashes & _WORD, np.uint64(BEGIN + 1))
+    token[is_word] = np.maximum(words.hashes, np.uint64(BEGIN + 1))
     token[ends] = END
     context = np.empty_like(token)
     context[1:] = token[:-1]

@@ -239,6 +239,15 @@ PAGE = """<html><head><title>t</title><style>p{}</style></head><body class="has-
 <section id="comments"><p>A reader says something long, and more, and more.</p></section><form><p>mail</p></form><footer>Imprint</footer></body></html>"""
 
 
+def test_language_model_keeps_words_apart_that_share_forty_bits(spark):
+    # found by trial: the last 40 bits of both hashes are equal
+    model = language_model.train(spark.createDataFrame([(1, "ituoca cgkfba")], "doc_id long, text string"))
+    asked = spark.createDataFrame([(1, "ituoca"), (2, "feefda"), (3, "cgkfba"), (4, "ykqtca")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_known"] for r in language_model.score(asked, model, ["doc_id"]).collect()}
+    assert got == {1: 2, 2: 1, 3: 2, 4: 1}  # the end token is known
+    assert language_model.train(asked).vocabulary == 5
+
+
 def test_extraction(spark):
     schema = "page_id long, url string, html string, text string"
     frame = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, ""), (3, "v", "", ""), (4, "w", "<div><p>Only &lt;this&gt;, here.<!-- no -->", "")], schema)
