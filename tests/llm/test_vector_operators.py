@@ -75,6 +75,22 @@ def test_norms_that_differ(spark):
     assert hits >= 0.9 * 75
 
 
+def test_one_very_long_vector(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2000, 64))
+    x[7] *= 100
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest(frame, lambda c: c % 20 == 0).collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    hits = 0
+    for q in range(0, 2000, 20):
+        order = [i for i in np.argsort(-(x @ x[q])) if i != q][:20]
+        assert len(found[q]) == 20
+        hits += len(set(found[q]) & set(map(int, order)))
+    assert hits >= 0.9 * 2000
+
+
 def test_pipeline_stages(spark, tmp_path):
     passage = " ".join(f"p{i}" for i in range(70))
     rows = [(1, f"one {passage}", "en", "s", 10), (2, f"one {passage}", "en", "s", 10), (3, " ".join(f"q{i}" for i in range(90)) + " " + passage, "en", "s", 9), (4, None, None, None, None), (None, "no id", "en", "s", 5)]
