@@ -291,7 +291,7 @@ def join_texts(values: list[tuple[str, bytes]]) -> tuple[str, bytes]:
     return ",".join([v[0] for v in values]), b"".join([v[1] for v in values])
 
 
-def _texts(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
+def texts_of(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
     for low, high, data, offsets in W.slices(column):
         raw = data.tobytes()
         yield low, high, [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets, offsets[1:])]
@@ -304,7 +304,7 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
     def run(batches):
         coder = kept_coder(vocabulary_path, id_bytes, b"".join)
         for batch in batches:
-            for low, high, texts in _texts(batch.column(1)):
+            for low, high, texts in texts_of(batch.column(1)):
                 packed = [b"".join(x) for x in coder.texts(texts)]
                 offsets = np.cumsum([0, *(len(p) // 4 for p in packed)])
                 values = pa.array(np.frombuffer(b"".join(packed), dtype="<u4").astype(np.int32))
@@ -336,7 +336,7 @@ def round_trip(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", te
     def run(batches):
         coder = kept_coder(vocabulary_path, id_text, join_texts)
         for batch in batches:
-            for low, high, texts in _texts(batch.column(1)):
+            for low, high, texts in texts_of(batch.column(1)):
                 n, ids, decoded = [], [], []
                 for values in coder.texts(texts):
                     listed, back = join_texts(values)
@@ -361,10 +361,10 @@ def token_pieces(
     def run(batches):
         encoder = plain_encoder(vocabulary_path)
         for batch in batches:
-            for low, high, texts in _texts(batch.column(1)):
+            for low, high, texts in texts_of(batch.column(1)):
                 rows, piece, start, length, crc = [], [], [], [], []
                 for row, text in enumerate(texts, low):
-                    ids = np.array([*encoder.encode(text, allowed_special="all"), end_id], dtype="<u4")
+                    ids = np.array([*encoder(text), end_id], dtype="<u4")
                     cuts = [0, *range(len(ids) - (len(ids) - 1) // most * most, len(ids) + 1, most)]
                     for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                         rows.append(row)
@@ -378,14 +378,34 @@ def token_pieces(
     return _narrow(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def plain_encoder(path: str):
-    """A compiled encoder over the same vocabulary, for operators whose own method is not the encoding."""
-    if (path, "plain") not in _loaded:
+# The compiled pattern below runs out of stack on long white space; such texts go to the tokenizers library.
+_LONG_SPACE = re.compile(r"\s{200}")
+
+
+def plain_encoder(path: str, special: bool = True) -> Callable[[str], list[int]]:
+    """Ids of a text, for operators whose own method is not the encoding.
+
+    Both libraries used here give the same ids; the faster one cannot take long runs of white space. Strings of
+    special tokens are ordinary text unless `special`.
+    """
+    if (path, "plain", special) not in _loaded:
         import tiktoken
+        from tokenizers import Tokenizer
 
         v = vocabulary(path)
-        _loaded[path, "plain"] = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=v.ids, special_tokens=v.special)
-    return _loaded[path, "plain"]
+        fast = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=v.ids, special_tokens=v.special)
+        slow = Tokenizer.from_file(path)
+        slow.no_truncation()
+        slow.no_padding()
+        slow.encode_special_tokens = not special
+
+        def encode(text: str) -> list[int]:
+            if _LONG_SPACE.search(text):
+                return slow.encode(text, add_special_tokens=False).ids
+            return fast.encode(text, allowed_special="all") if special else fast.encode_ordinary(text)
+
+        _loaded[path, "plain", special] = encode
+    return _loaded[path, "plain", special]
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
