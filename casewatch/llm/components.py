@@ -30,14 +30,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def closer(edges: DataFrame, name: str = "components") -> tuple[DataFrame, dict[str, int]]:
+    """One step: edges of the same components, nearer to stars, with the number of edges and a sum of their hashes."""
+    state = {"edges": F.count(F.lit(1)), "hashes": F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))}
+    return W.stored_with(_small_star(_large_star(edges)), name, **state)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(a, b): each node of the edges (a, b), but the smallest of its component, with that smallest node."""
-    current, seen = W.stored(edges.where("a <> b").select("a", "b").distinct(), name), None
-    while True:
-        current = W.stored(_small_star(_large_star(current)), name)
-        state = current.agg(
-            F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))), F.count_if(F.col("a") <= F.col("b"))
-        ).first()
-        if state == seen:
-            return current
+    current, state = closer(edges.where("a <> b").select("a", "b").distinct(), name)
+    while state["edges"]:
         seen = state
+        current, state = closer(current, name)
+        if state == seen:
+            break
+    return current

@@ -10,17 +10,18 @@ common subsequence of their shingle sequences (the Jaccard measure of shingles k
    n - ceil(0.8 n) + 1 rarest are keys of their own. Two linked texts have one of these in common, as each lacks
    at most n - ceil(0.8 n) of its shingles in the other and both rank by the same counts.
 3. Candidates are checked against pivots (the member that shares buckets with most others), never all against
-   all: a bucket of n texts gives at most n pairs a round. Linked texts merge into components. Buckets that still
-   hold several components go through further rounds with other pivots; at last all remaining pairs of members
-   in different components are checked, so no candidate link that could join two components is left out. Pairs
-   whose shingle bitmaps already differ too much for the threshold never leave that join.
-4. Every document gets the smallest id of its component as its class.
+   all: a bucket of n texts gives at most n pairs a round. One step of merging after each round gives linked texts a
+   common label. Buckets of three or more that still hold several labels go through further rounds with other pivots;
+   at last all remaining pairs of members with different labels are checked, so no candidate link that could join two
+   components is left out. Pairs whose shingle bitmaps already differ too much for the threshold never leave that join.
+4. All links found are merged into components; every document gets the smallest id of its component as its class.
 
 A linked pair with a text of at most SHORT shingles always shares a key. Of longer ones, m common of u shingles share
 none with probability (1 - C(m, 8) / C(u, 8))**40: at the threshold at most 1.6e-3 (52 of 65), below 1e-3 from 160
 shingles on and (1 - 0.8**8)**40 = 6e-4 in the limit; at a similarity of 0.85 below 2e-5.
 Texts without words are never duplicates; texts of one to four words only of equal ones. Null ids get no class
-(null). Rows that repeat an id belong to that id's text with the smallest hash for the class, and all are returned.
+(null). All rows are returned; rows that repeat an id with other texts are one document, which belongs to the class
+with the smallest id that any of its texts is in.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewatch.llm import words as W
-from casewatch.llm.components import components
+from casewatch.llm.components import closer, components
 
 SHINGLE = 5
 LEAST = 0.8
@@ -131,7 +132,7 @@ def aligned(x: list, y: list, least: float = LEAST) -> float:
 
 
 def signatures(docs: DataFrame, tables: int, picked: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, same, same2, codes, keys, bins) of the documents with an id and words.
+    """(doc_id, n, same, same2, codes, keys, bins, node) of the documents with an id and words; `node` tells rows apart.
 
     Codes are 16-bit word hashes; keys are empty up to SHORT shingles; bins hold, for each of 1024 values of the hash's first
     bits, whether the number of such shingles is odd.
@@ -161,12 +162,13 @@ def signatures(docs: DataFrame, tables: int, picked: int, id_col: str, text_col:
                 ], ["doc_id", "n", "same", "same2", "codes", "keys", "bins"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n int, same long, same2 long, codes binary, keys array<long>, bins array<long>")
+    made = source.mapInArrow(run, "doc_id long, n int, same long, same2 long, codes binary, keys array<long>, bins array<long>")
+    return made.withColumn("node", F.monotonically_increasing_id())
 
 
 def short_keys(table: DataFrame, least: float) -> DataFrame:
-    """(doc_id, n, key) of the texts that are short or may be linked to a short one; the driver gets COUNTERS counts."""
-    short = table.where(F.col("n").between(1, int(SHORT / least + 1e-9))).select("doc_id", "n", "codes")
+    """(node, n, key) of the texts that are short or may be linked to a short one; the driver gets COUNTERS counts."""
+    short = table.where(F.col("n").between(1, int(SHORT / least + 1e-9))).select("node", "n", "codes")
 
     def count(batches):
         counts = np.zeros(COUNTERS, dtype=np.int64)
@@ -187,9 +189,9 @@ def short_keys(table: DataFrame, least: float) -> DataFrame:
             found = [prefix_keys(shingles(np.frombuffer(c, dtype="<u2")), shared.value, least) for c in batch.column(2).to_pylist()]
             at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]), pa.int64())
             keys = np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), W.signed(keys)], ["doc_id", "n", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), W.signed(keys)], ["node", "n", "key"])
 
-    return short.mapInArrow(run, "doc_id long, n int, key long")
+    return short.mapInArrow(run, "node long, n int, key long")
 
 
 def verified(pairs: DataFrame, codes: DataFrame, least: float) -> DataFrame:
@@ -205,8 +207,8 @@ def verified(pairs: DataFrame, codes: DataFrame, least: float) -> DataFrame:
                         values.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["a", "b", "similarity"])
 
-    one = codes.select(F.col("doc_id").alias("a"), F.col("codes").alias("x"))
-    two = codes.select(F.col("doc_id").alias("b"), F.col("codes").alias("y"))
+    one = codes.select(F.col("node").alias("a"), F.col("codes").alias("x"))
+    two = codes.select(F.col("node").alias("b"), F.col("codes").alias("y"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similarity double")
 
 
@@ -221,28 +223,25 @@ def _may_overlap(least: float):
     return apart <= (F.col("n") + F.col("pn")) * F.lit((1 - least) / (1 + least)) + F.lit(1e-6)
 
 
-def _labelled_members(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("label", F.col("doc_id"))
-    named = labels.select(F.col("a").alias("doc_id"), F.col("b").alias("label"))
-    return members.join(named, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Members with the smallest node that they are known to be linked to."""
+    if links is None:
+        return members.withColumn("label", F.col("node"))
+    named = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
+    return members.join(named, "node", "left").withColumn("label", F.least(F.coalesce("label", "node"), "node"))
 
 
-def _pivots(open_: DataFrame, turn: int) -> DataFrame:
-    """(key, p, pn, pl): the member of each bucket that shares buckets with most others.
+def _rank(turn: int):
+    """Order of the members of a bucket; the first is its pivot.
 
     The source of many copies shares more keys with them than they with each other, so it comes first; later
     rounds weigh by a random factor, to try others.
     """
-    sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    company = open_.join(sizes, "key").groupBy("doc_id").agg(F.sum("size").alias("company"))
-    chance = F.lit(1.0) if turn == 0 else (F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(1 << 20)) + 1) / (1 << 20)
-    rank = F.struct(
-        (-F.col("company") * chance).alias("r"), F.xxhash64("doc_id", F.lit(turn)).alias("h"),
-        F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"),
+    chance = F.lit(1.0) if turn == 0 else (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 20)) + 1) / (1 << 20)
+    return F.struct(
+        (-F.col("company") * chance).alias("r"), F.xxhash64("node", F.lit(turn)).alias("h"),
+        F.col("node").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"),
     )
-    best = open_.join(company, "doc_id").groupBy("key").agg(F.min(rank).alias("pivot"))
-    return best.select("key", "pivot.p", "pivot.pn", "pivot.pl")
 
 
 def near_duplicates(
@@ -253,45 +252,45 @@ def near_duplicates(
     spark = docs.sparkSession
     W.small_batches(spark)
     table = W.stored(signatures(docs, tables, picked, id_col, text_col), "signatures")
-    groups = table.groupBy("same", "same2").agg(F.min("doc_id").alias("head"))
-    heads = groups.select(F.col("head").alias("doc_id")).distinct()
-    buckets = table.select("doc_id", "n", F.explode("keys").alias("key")).unionByName(short_keys(table, least))
-    first = W.stored(table.join(groups, ["same", "same2"]).select("doc_id", "head").distinct(), "heads")
-    kept = buckets.join(heads, "doc_id", "left_semi")
-    shared = kept.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    members = W.stored(kept.join(shared, "key").select("key", "doc_id", "n").distinct(), "members")
+    groups = table.groupBy("same", "same2").agg(F.min("node").alias("node"))
+    first = W.stored(table.drop("node").join(groups, ["same", "same2"]).select("doc_id", "node").distinct(), "heads")
+    buckets = table.select("node", "n", F.explode("keys").alias("key")).unionByName(short_keys(table, least))
+    kept = buckets.join(groups.select("node"), "node", "left_semi").distinct()
+    sizes = kept.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = W.stored(kept.join(sizes, "key"), "shared")
+    company = shared.groupBy("node").agg(F.sum("size").alias("company"))
+    members = W.stored(shared.drop("size").join(company, "node"), "members")
     # codes of candidates only, once; later rounds read this small table
-    wanted = members.select("doc_id").distinct()
-    codes = W.stored(table.select("doc_id", "codes", "bins").join(wanted, "doc_id").dropDuplicates(["doc_id"]), "codes")
+    codes = W.stored(table.select("node", "codes", "bins").join(company.select("node"), "node"), "codes")
 
-    links, tried, labels = None, None, None
+    links = None
     for turn in range(rounds + 1):
-        named = _labelled_members(members, labels)
-        mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        open_ = W.stored(named.join(mixed, "key"), "open")
-        if W.empty(open_):
-            break
+        named = _labelled(members, links)
+        mixed = named.groupBy("key").agg(
+            F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"), F.min(_rank(turn)).alias("pivot")
+        ).where("low < high")
+        if turn > 0:  # two members have met in the first round
+            mixed = mixed.where("size > 2")
         if turn < rounds:
-            pivots = _pivots(open_, turn)
-            pairs = open_.join(pivots, "key").where("label <> pl").where(_close("n", "pn", least))
-        else:  # what is left: members of different components of one bucket
-            binned = open_.join(codes.select("doc_id", "bins"), "doc_id")
-            other = binned.select("key", F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"), F.col("bins").alias("other_bins"))
-            pairs = binned.join(other, "key").where("label < pl").where(_close("n", "pn", least)).where(_may_overlap(least))
-        pairs = pairs.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = W.stored(pairs, "pairs")
-        if W.empty(pairs):
+            pairs = named.join(mixed.select("key", "pivot.p", "pivot.pn", "pivot.pl"), "key").where("label <> pl").where(_close("n", "pn", least))
+        else:  # what is left: members of different labels in one bucket
+            open_ = W.stored(named.join(mixed.select("key"), "key").join(codes.select("node", "bins"), "node"), "open")
+            other = open_.select("key", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"), F.col("bins").alias("other_bins"))
+            pairs = open_.join(other, "key").where("label < pl").where(_close("n", "pn", least)).where(_may_overlap(least))
+        pairs = pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+        pairs, met = W.stored_with(pairs, "pairs", n=F.count(F.lit(1)))
+        if met["n"] == 0:
             continue
-        found = W.stored(verified(pairs, codes, least), "links").select("a", "b")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        # earlier components are kept as edges to their smallest member
-        links = found if labels is None else labels.unionByName(found)
-        labels = components(links)
-    class_of = F.col("head") if labels is None else F.coalesce("label", "head")
-    if labels is not None:
-        first = first.join(labels.select(F.col("a").alias("head"), F.col("b").alias("label")), "head", "left")
-    classes = first.select("doc_id", class_of.alias("class_id")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+        found, linked = W.stored_with(verified(pairs, codes, least).select("a", "b"), "links", n=F.count(F.lit(1)))
+        if linked["n"] == 0:
+            continue
+        found = found if links is None else links.unionByName(found)
+        links = closer(found)[0] if turn < rounds else found
+    classes = first
+    if links is not None:
+        labels = components(links).withColumnRenamed("a", "node")
+        classes = first.join(labels, "node", "left").select("doc_id", F.coalesce("b", "node").alias("node"))
+    smallest = classes.groupBy("node").agg(F.min("doc_id").alias("class_id"))
+    classes = classes.join(smallest, "node").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
     return ids.join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

@@ -79,6 +79,14 @@ def test_packing_places_every_piece_once(docs, odd, none):
     assert packing.pack_documents(none, queries.vocabulary_path()).count() == 0
 
 
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(90)) for c in "xy")
+    rows = [(9, one), (9, two), (5, one), (12, two + " end"), (13, "alone " * 7), (None, one), (None, None), (14, None)]
+    frame = spark.createDataFrame([(i, t, "c", 1, 2) for i, t in rows], "doc_id long, text string, node string, label long, n long")
+    got = Counter(tuple(r) for r in near_dedup.near_duplicates(frame.repartition(3)).collect())
+    assert got == Counter([(9, 5), (9, 5), (5, 5), (12, 9), (13, 13), (None, None), (None, None), (14, 14)])
+
+
 def test_plan_holds_each_length_once():
     rng = random.Random(1)
     for _ in range(20):
