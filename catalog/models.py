@@ -328,6 +328,51 @@ def robust_one_flag(spark, sf_dir):
     return rounded(robust.select("term", *WALD_COLUMNS), *WALD_COLUMNS)
 
 
+# Two disjoint levels against the rest: the fit has a closed form although it has two terms.
+TWO_LEVELS = ("indication_grpTransplantation", "indication_grpAutoimmune.diseases")
+TWO_FLAGS = """, k AS (SELECT indication_grp AS g, count(*) FILTER (WHERE outcome = 1)::DOUBLE AS a, count(*) FILTER (WHERE outcome = 0)::DOUBLE AS b
+ FROM c WHERE flag_mol_red IS NOT NULL GROUP BY 1), o AS (SELECT * FROM k WHERE g = 'Other'),
+ e AS (SELECT '(Intercept)' AS term, ln(a / b) AS beta, sqrt(1 / a + 1 / b) AS se FROM o
+ UNION ALL SELECT CASE k.g WHEN 'Transplantation' THEN 'indication_grpTransplantation' ELSE 'indication_grpAutoimmune.diseases' END,
+  ln(k.a * o.b / (k.b * o.a)), sqrt(1 / k.a + 1 / k.b + 1 / o.a + 1 / o.b) FROM k, o WHERE k.g <> 'Other')"""
+
+
+def two_level_patterns(spark, sf_dir):
+    levels = {"indication_grp": D.INDICATION_LEVELS}
+    design = DM.design_matrix(features(spark, sf_dir), (), levels)
+    return cut_lineage(DM.collapse(design)), design.terms
+
+
+@query(CARRIER + DRUG_ROWS + TWO_FLAGS + WALD)
+def refit_two_flags(spark, sf_dir):
+    patterns, terms = two_level_patterns(spark, sf_dir)
+    return rounded(RF.refit_logistic(patterns, terms, TWO_LEVELS).select("term", *WALD_COLUMNS), *WALD_COLUMNS)
+
+
+@query(CARRIER + DRUG_ROWS + TWO_FLAGS + f""" SELECT term AS variable,
+ printf('%.2f [%.2f–%.2f]', exp(beta), exp(beta - 1.96 * se), exp(beta + 1.96 * se)) AS adjusted_or FROM e""")
+def odds_ratio_text_two_flags(spark, sf_dir):
+    patterns, terms = two_level_patterns(spark, sf_dir)
+    return RF.odds_table(RF.refit_logistic(patterns, terms, TWO_LEVELS)).select("variable", "adjusted_or")
+
+
+# Coefficients that are no fit, so that sandwich and model errors differ; the inverse is that of a 2x2 matrix.
+GIVEN = {"(Intercept)": -1.5, "flag_mol_red": 0.75}
+
+
+@query(CARRIER + DRUG_ROWS + f""", q AS (SELECT flag_mol_red AS x, outcome AS y, 1 / (1 + exp(-({GIVEN['(Intercept)']} + {GIVEN['flag_mol_red']} * flag_mol_red))) AS p
+ FROM c), s AS (SELECT sum(p * (1 - p)) AS i00, sum(x * p * (1 - p)) AS i11, sum((y - p) ** 2) AS m00, sum(x * (y - p) ** 2) AS m11 FROM q),
+ e AS (SELECT '(Intercept)' AS term, {GIVEN['(Intercept)']}::DOUBLE AS beta,
+  sqrt(i11 * i11 * m00 - 2 * i11 * i11 * m11 + i11 * i11 * m11) / (i00 * i11 - i11 * i11) AS se FROM s
+ UNION ALL SELECT 'flag_mol_red', {GIVEN['flag_mol_red']}::DOUBLE,
+  sqrt(i11 * i11 * m00 - 2 * i00 * i11 * m11 + i00 * i00 * m11) / (i00 * i11 - i11 * i11) FROM s)""" + WALD)
+def robust_given_coefficients(spark, sf_dir):
+    patterns, terms = one_flag_patterns(spark, sf_dir)
+    given = spark.createDataFrame(list(GIVEN.items()), "term string, beta double")
+    robust = RF.robust_errors(patterns, terms, given, keep_intercept=True)
+    return rounded(robust.select("term", *WALD_COLUMNS), *WALD_COLUMNS)
+
+
 def full_refit(spark, sf_dir):
     design = demo_design(spark, sf_dir)
     patterns = cut_lineage(DM.collapse(design))

@@ -79,6 +79,53 @@ def test_refit_and_robust_errors(design, data):
     assert [hc[t] for t in order] == pytest.approx(list(robust), abs=1e-6)
 
 
+def patterns_of(spark, rows):
+    return spark.createDataFrame([([float(v) for v in x], n, pos) for x, n, pos in rows], "x array<double>, n long, pos long")
+
+
+def test_separated_data_raise(spark):
+    complete = patterns_of(spark, [((0, 0), 40, 10), ((0, 1), 30, 9), ((1, 0), 20, 20), ((1, 1), 10, 10)])
+    with pytest.raises(RF.Separated) as error:
+        RF.refit_logistic(complete, ("a", "b"), ("a", "b"))
+    assert "a" in error.value.terms and "b" not in error.value.terms
+    # No single term predicts the outcome, only their sum does.
+    jointly = patterns_of(spark, [((0, 0), 40, 0), ((0, 1), 30, 12), ((1, 0), 20, 9), ((1, 1), 10, 10)])
+    with pytest.raises(RF.Separated) as error:
+        RF.refit_logistic(jointly, ("a", "b"), ("a", "b"))
+    assert {"a", "b"} <= set(error.value.terms)
+    with pytest.raises(RF.Separated):
+        RF.refit_logistic(patterns_of(spark, [((0,), 5, 0), ((1,), 4, 0)]), ("a",), ("a",))
+    with pytest.raises(ValueError):
+        RF.refit_logistic(patterns_of(spark, []), ("a",), ("a",))
+
+
+def test_unsettled_fit_raises(spark, design):
+    with pytest.raises(RuntimeError):
+        RF.newton(DM.collapse(design), design.terms, ["a", "b"], steps=2)
+
+
+def test_steps_are_halved_where_a_whole_one_overshoots(spark):
+    # Newton's first step from zero overshoots on a rare outcome with a strong numeric term.
+    rows = [((x,), 10_000, pos) for x, pos in ((0.0, 1), (1.0, 2), (20.0, 3), (40.0, 9_990))]
+    used, beta, sums = RF.newton(patterns_of(spark, rows), ("a",), ("a",))
+    x = np.array([[1.0, r[0][0]] for r in rows])
+    n, pos = (np.array([r[k] for r in rows], float) for k in (1, 2))
+    p = 1 / (1 + np.exp(-x @ beta))
+    assert used == ["a"] and np.abs(x.T @ (pos - n * p)).max() < 1e-3
+    assert sums.loglik == pytest.approx(float((pos * np.log(p) + (n - pos) * np.log1p(-p)).sum()), rel=1e-9)
+
+
+def test_rare_outcomes_are_no_separation(spark):
+    fitted = RF.refit_logistic(patterns_of(spark, [((0,), 10_000_000, 20), ((1,), 5_000_000, 40)]), ("a",), ("a",)).collect()
+    assert fitted[1]["beta"] == pytest.approx(math.log(40 * (10_000_000 - 20) / (20 * (5_000_000 - 40))), abs=1e-6)
+
+
+def test_sums_do_not_depend_on_partitions(spark, design):
+    patterns = DM.collapse(design)
+    one, many = (RF.cross_products(patterns.repartition(k), [0, 1], [0.3, -0.2, 0.1]) for k in (1, 7))
+    assert one.loglik == pytest.approx(many.loglik) and np.allclose(one.information, many.information) and np.allclose(one.squared, many.squared)
+
+
 def test_one_binary_feature_is_the_log_odds_ratio(spark):
     cells = {(1, 1): 10, (1, 0): 20, (0, 1): 30, (0, 0): 40}
     rows = [(i, e, y) for i, ((e, y), n) in enumerate(cells.items()) for _ in range(n)]
