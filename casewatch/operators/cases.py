@@ -73,6 +73,19 @@ def report_age(df: DataFrame) -> Column:
     return F.coalesce(F.col("age_years"), raw) if "age_years" in df.columns else raw
 
 
+def age_code(df: DataFrame, by_value: bool = False) -> Column:
+    """What represents the age of a row in a case table: years, or the level's code where the source has bands only."""
+    if "age_group" not in df.columns:
+        return report_age(df)
+    band = F.trim("age_group")
+    return level_code(band, D.AGE_LEVELS, F.when(band.isin(list(D.AGE_LEVELS)), band), by_value)
+
+
+def age_level(df: DataFrame, code: Column) -> Column:
+    """The age band from an aggregated `age_code` of the same reports; labels that are no band count as missing."""
+    return level_label(code, D.AGE_LEVELS) if "age_group" in df.columns else R.age_band(code)
+
+
 def subgroup_universe(
     reports: DataFrame,
     dictionary: Dictionary = D.DRUG_CLASSES,
@@ -98,7 +111,7 @@ def subgroup_universe(
         "region_grp": (R.region5("region"), F.col("region"), D.REGION_LEVELS),
     }
     indication = level_code(R.indication_group("indication"), D.INDICATION_LEVELS, F.col("indication"), by_value)
-    picks = {"_indication": indication, "_age": report_age(reports)}
+    picks = {"_indication": indication, "_age": age_code(reports, by_value)}
     flags = flag_columns(dictionary, how, roles, prefix="exposed_")
     anys = {
         "_serious": R.serious_row(serious_flags).cast("int") if serious_flags else F.lit(None).cast("int"),
@@ -120,7 +133,7 @@ def subgroup_universe(
     return cases.select(
         "case_id",
         *group_columns,
-        R.age_band("_age").alias("age_group"),
+        age_level(reports, F.col("_age")).alias("age_group"),
         F.coalesce(level_label(F.col("_indication"), D.INDICATION_LEVELS), F.lit("Other")).alias("indication_grp"),
         F.when(F.col("_serious").isNotNull(), R.serious_label("_serious")).alias("serious_grp"),
         *flags,

@@ -7,43 +7,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewatch.session import cut_lineage
+from casewatch.session import stored
 
 
 def running_totals(
-    collapsed: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), n_cuts: int | None = None
+    collapsed: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
     """Add `<x>_upto` (sum of x over values <= this one) and `<x>_all` (group total) for each x in `sums`.
 
-    `collapsed` holds one row per (by, value); it is read three times, so pass a written table
-    (`cut_lineage`). A fixed pseudo-random sample of the values cuts the
-    value range into about equal buckets; sums run inside a bucket and start from the total of the
-    buckets below. The sample is chosen by hash, so a recomputed task sees the same cuts. Without `n_cuts` there are
-    at least 256 buckets, and as many as shuffle partitions where those are more.
+    `collapsed` holds one row per (by, value). Rows are dealt to `ranges` partitions (by default one per shuffle
+    partition) by group and value and written with the number of their partition, so that every reader sees the same
+    ranges. Sums run inside a range and start from the totals of the group's ranges before; a row's cost does not
+    depend on the number of ranges, and only one row per group and range meets in a window over all ranges.
     """
-    if n_cuts is None:
-        n_cuts = max(int(collapsed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 256) - 1
-    cuts = (
-        collapsed.select(value).distinct().orderBy(F.xxhash64(value)).limit(n_cuts)
-        .agg(F.array_sort(F.collect_list(value)))
-        .scalar()
-    )
-    # Counted by a fold: from `size(filter(...))` the optimizer infers a filter on integer values that the totals lack.
-    bucket = F.aggregate("_cuts", F.lit(0), lambda k, cut: k + F.when(cut < F.col(value), 1).otherwise(0))
-    bucketed = collapsed.withColumn("_cuts", cuts).withColumn("_bucket", bucket).drop("_cuts")
-    keys = [*by, "_bucket"]
-    below = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    if ranges is None:
+        ranges = int(collapsed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = collapsed.repartitionByRange(max(ranges, 1), *by, value)
+    placed = stored(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+    keys = [*by, "_range"]
+    below = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
-    starts = bucketed.groupBy(*keys).agg(*[F.sum(x).alias(f"_in_{x}") for x in sums]).select(
+    starts = placed.groupBy(*keys).agg(*[F.sum(x).alias(f"_in_{x}") for x in sums]).select(
         *keys,
         *[F.coalesce(F.sum(f"_in_{x}").over(below), F.lit(0)).alias(f"_below_{x}") for x in sums],
         *[F.sum(f"_in_{x}").over(whole).alias(f"{x}_all") for x in sums],
     )
     inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        bucketed.join(starts, keys)
+        placed.join(starts, keys)
         .withColumns({f"{x}_upto": F.sum(x).over(inside) + F.col(f"_below_{x}") for x in sums})
-        .drop("_bucket", *[f"_below_{x}" for x in sums])
+        .drop("_range", *[f"_below_{x}" for x in sums])
     )
 
 
@@ -78,6 +71,6 @@ def quantiles_of_counts(
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles of a column, nulls ignored; writes the distinct values with their counts once."""
+    """Exact quantiles of a column, nulls ignored, from the distinct values with their counts."""
     collapsed = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    return quantiles_of_counts(cut_lineage(collapsed), value, probabilities, by)
+    return quantiles_of_counts(collapsed, value, probabilities, by)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -250,6 +252,40 @@ def stratified_counts(
     )
 
 
+def stratified_grid(
+    cases: DataFrame, labels: Mapping[str, str], sets: Sequence[Sequence[str]], outcome: str = "outcome"
+) -> DataFrame:
+    """`stratified_counts` of several stratifications at once: (exposure, stratification, all strata columns, a, b, c, d).
+
+    The case table is aggregated once, to the cells of all strata together; the grouping sets run over these few
+    cells. A strata column is null where it is not part of the row's stratification; cases without a label of a
+    stratification are not part of it.
+    """
+    strata = list(dict.fromkeys(c for s in sets for c in s))
+    y = F.col(outcome)
+    sums = {f"_e_{f}": F.col(f) for f in labels} | {f"_a_{f}": F.col(f) * y for f in labels}
+    cells = cases.groupBy(*strata).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_y"), *[F.sum(c).alias(name) for name, c in sums.items()]
+    )
+    totals = [F.sum(c).cast("bigint").alias(c) for c in ("_n", "_y", *sums)]
+    missing = [F.max((F.grouping(c) == 0) & F.col(c).isNull()).alias(f"_m_{c}") for c in strata]
+    wide = cells.groupingSets([[F.col(c) for c in s] for s in sets], *strata).agg(F.grouping_id().alias("_set"), *totals, *missing)
+    bits = {c: 1 << (len(strata) - 1 - i) for i, c in enumerate(strata)}
+    names = {sum(b for c, b in bits.items() if c not in s): " x ".join(s) for s in sets}
+    name = F.coalesce(*[F.when(F.col("_set") == k, F.lit(v)) for k, v in names.items()])
+    complete = wide.where(~reduce(or_, [F.col(f"_m_{c}") for c in strata])).withColumn("stratification", name)
+    long = long_form(
+        complete, ["stratification", *strata, "_n", "_y"], labels,
+        {"_e": lambda f: F.col(f"_e_{f}"), "a": lambda f: F.col(f"_a_{f}")},
+    )
+    return long.select(
+        "exposure", "stratification", *strata, "a",
+        (F.col("_e") - F.col("a")).alias("b"),
+        (F.col("_y") - F.col("a")).alias("c"),
+        (F.col("_n") - F.col("_e") - F.col("_y") + F.col("a")).alias("d"),
+    )
+
+
 def roll_up(counts: DataFrame, strata: Sequence[str]) -> DataFrame:
     """Sum a finer grid of counts over the strata left out."""
     return counts.groupBy("exposure", *strata).agg(*[F.sum(x).cast("bigint").alias(x) for x in "abcd"])

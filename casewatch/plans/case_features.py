@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from casewatch import defaults as D
 from casewatch.functions import reports as R
 from casewatch.functions.text import upper_trim
-from casewatch.operators.cases import case_table, level_code, level_label, report_age, value_code, value_position
+from casewatch.operators.cases import age_code, age_level, case_table, level_code, level_label, value_code, value_position
 from casewatch.operators.exposure import Dictionary, flag_columns, in_roles
 from casewatch.operators.filters import any_exposure, non_serious, target_rows
 
@@ -55,7 +55,7 @@ def case_features(
     indication = R.indication_group(upper_trim("indication"))
     picks = {
         "_sex": level_code(R.sex3(upper_trim("sex"), sex_levels), sex_levels, F.col("sex"), by_value),
-        "_age": report_age(reports),
+        "_age": age_code(reports, by_value),
         "_indication": level_code(indication, D.INDICATION_LEVELS, F.col("indication"), by_value),
         **{name: F.col(name) for name in extra},
     }
@@ -67,7 +67,7 @@ def case_features(
     return cases.select(
         "case_id", "outcome", *flags,
         level_label(F.col("_sex"), sex_levels).alias("sex"),
-        R.age_band("_age").alias("age_cat"),
+        age_level(reports, F.col("_age")).alias("age_cat"),
         F.coalesce(level_label(F.col("_indication"), D.INDICATION_LEVELS), F.lit("Other")).alias("indication_grp"),
         *(["serious"] if "serious" in cases.columns else []),
         *extra,
@@ -93,7 +93,7 @@ def portable_features(
     male_first = F.when(R.sex_male("sex") == 1, 2).when(R.sex_unknown("sex") == 1, 3).otherwise(1)
     picks = {
         "_sex": value_code(male_first, F.col("sex"), by_value),
-        "_age": report_age(reports),
+        "_age": age_code(reports, by_value),
         "_indication": level_code(
             R.indication_group(upper_trim("indication")), D.INDICATION_LEVELS, F.col("indication"), by_value
         ),
@@ -106,7 +106,7 @@ def portable_features(
         "outcome",
         F.coalesce(value_position(F.col("_sex")) == 2, F.lit(False)).cast("int").alias("sexMale"),
         F.coalesce(value_position(F.col("_sex")) == 3, F.lit(False)).cast("int").alias("sexUnknown"),
-        (R.age_band("_age") == "40-64").cast("int").alias("age_cat40.64"),
+        (age_level(reports, F.col("_age")) == "40-64").cast("int").alias("age_cat40.64"),
         F.coalesce(value_position(F.col("_indication")) == 2, F.lit(False)).cast("int").alias("indication_grpTransplantation"),
         *flags,
         F.lit(source).alias("source"),

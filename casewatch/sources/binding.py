@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 class Logical:
     """A logical column: the first physical candidate present is used.
 
-    `unique_like` names a fragment to look for when no candidate is present; it must then match
-    one column only. `optional` columns that are absent become null.
+    With `by_row` it is a chain: each row takes the first candidate that is not null there. `unique_like` names a
+    fragment to look for when no candidate is present; it must then match one column only. `optional` columns that are
+    absent become null. A column is left out where one of the logical columns in `unless` is bound to a physical one.
     """
 
     name: str
@@ -23,6 +24,8 @@ class Logical:
     optional: bool = False
     unique_like: str | None = None
     omit: bool = False  # leave an absent optional column out instead of binding nulls
+    by_row: bool = False
+    unless: tuple[str, ...] = ()
 
 
 # The seriousness sub-flags of a report.
@@ -44,8 +47,8 @@ FIRST_SOURCE = (
     Logical("age_years", ("age_years_raw", "age_years"), "double", optional=True),
     Logical("age", ("age",), "string", optional=True),
     Logical("age_unit", ("age_cod",), "string", optional=True),
-    Logical("age_group", ("age_group",), "string", optional=True),
-    Logical("indication", ("indi_pt_norm", "indi_pt"), "string", optional=True),
+    Logical("age_group", ("age_group",), "string", optional=True, omit=True, unless=("age_years", "age")),
+    Logical("indication", ("indi_pt_norm", "indi_pt"), "string", optional=True, by_row=True),
     Logical("region", ("region",), "string", optional=True),
     Logical("occr_country", ("occr_country",), "string", optional=True),
     Logical("reporter_country", ("reporter_country",), "string", optional=True),
@@ -80,7 +83,7 @@ PORTABLE_SOURCE = (
     Logical("drug", ("DRUG_MOLECULE", "drugname", "DRUGNAME", "drugname_en", "DRUGNAME_EN"), "string"),
     Logical("sex", ("sex_raw", "sex_std", "sex", "SEX_STD", "SEX"), "string"),
     Logical("age", ("age_years_raw", "age_years", "AGE_YEARS", "age", "AGE"), "string", optional=True),
-    Logical("age_group", ("age_group_raw", "age_group", "AGE_GROUP"), "string", optional=True),
+    Logical("age_group", ("age_group_raw", "age_group", "AGE_GROUP"), "string", optional=True, omit=True, unless=("age",)),
     Logical("year", ("year_raw", "year", "YEAR"), "int", optional=True),
     Logical("serious", ("serious_flag",), optional=True, unique_like="serious"),
     Logical(
@@ -93,39 +96,57 @@ PORTABLE_SOURCE = (
 )
 
 
-def resolve(columns: Sequence[str], logical: Logical, case_sensitive: bool = False) -> str | None:
-    """Physical name for a logical column, or None when an optional one is absent."""
+def resolve_all(columns: Sequence[str], logical: Logical, case_sensitive: bool = False) -> list[str]:
+    """Physical names for a logical column that are present, best first; empty when an optional one is absent."""
     fold = (lambda s: s) if case_sensitive else str.lower
     present = {}
     for column in columns:
         present.setdefault(fold(column), column)
-    for candidate in logical.candidates:
-        if fold(candidate) in present:
-            return present[fold(candidate)]
+    found = list(dict.fromkeys(present[fold(c)] for c in logical.candidates if fold(c) in present))
+    if found:
+        return found
     if logical.unique_like:
         hits = [c for c in columns if logical.unique_like.lower() in c.lower()]
         if len(hits) == 1:
-            return hits[0]
+            return hits
         if len(hits) > 1:
             raise ValueError(f"{logical.name}: several columns look like it: {', '.join(hits)}")
     if logical.optional:
-        return None
+        return []
     raise ValueError(f"{logical.name}: none of {', '.join(logical.candidates)} is present")
 
 
-def bind_columns(df: DataFrame, spec: Sequence[Logical], case_sensitive: bool = False) -> DataFrame:
-    """One projection with the logical names; reads the schema only, so no job runs."""
+def resolve(columns: Sequence[str], logical: Logical, case_sensitive: bool = False) -> str | None:
+    """Physical name for a logical column, or None when an optional one is absent."""
+    return next(iter(resolve_all(columns, logical, case_sensitive)), None)
+
+
+def bind_columns(
+    df: DataFrame, spec: Sequence[Logical], case_sensitive: bool = False, traced: Sequence[str] = ()
+) -> DataFrame:
+    """One projection with the logical names; reads the schema only, so no job runs.
+
+    For each logical column in `traced`, `<name>_from` says which physical column gave the row its value (null where
+    none did).
+    """
+    hits = {x.name: resolve_all(df.columns, x, case_sensitive) for x in spec}
+    if unknown := set(traced) - set(hits):
+        raise ValueError(f"no logical columns: {', '.join(sorted(unknown))}")
 
-    def bound(logical: Logical) -> Column:
-        hit = resolve(df.columns, logical, case_sensitive)
-        if hit is None:
-            return F.lit(None).cast(logical.dtype or "string").alias(logical.name)
+    def typed(logical: Logical, hit: str) -> Column:
         column = F.col(f"`{hit}`")
         if logical.dtype == "string":
-            column = column.cast("string")
-        elif logical.dtype:
-            column = column.try_cast(logical.dtype)
-        return column.alias(logical.name)
+            return column.cast("string")
+        return column.try_cast(logical.dtype) if logical.dtype else column
 
-    kept = [x for x in spec if not (x.omit and resolve(df.columns, x, case_sensitive) is None)]
-    return df.select(*[bound(logical) for logical in kept])
+    out = []
+    for logical in spec:
+        found = hits[logical.name] if logical.by_row else hits[logical.name][:1]
+        if (logical.omit and not found) or any(hits.get(other) for other in logical.unless):
+            continue
+        values = [typed(logical, hit) for hit in found] or [F.lit(None).cast(logical.dtype or "string")]
+        out.append(F.coalesce(*values).alias(logical.name))
+        if logical.name in traced:
+            given = [F.when(v.isNotNull(), F.lit(hit)) for v, hit in zip(values, found)]
+            out.append(F.coalesce(*given, F.lit(None).cast("string")).alias(f"{logical.name}_from"))
+    return df.select(*out)

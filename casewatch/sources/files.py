@@ -11,11 +11,11 @@ from casewatch.sources.binding import Logical, bind_columns
 
 
 def read_reports(
-    spark: SparkSession, path: str, spec: Sequence[Logical] | None = None, case_sensitive: bool = False
+    spark: SparkSession, path: str, spec: Sequence[Logical] | None = None, case_sensitive: bool = False, traced: Sequence[str] = ()
 ) -> DataFrame:
-    """Report table from parquet, bound to logical columns when a spec is given."""
+    """Report table from parquet, bound to logical columns when a spec is given (`traced`: see `bind_columns`)."""
     raw = spark.read.parquet(path)
-    return bind_columns(raw, spec, case_sensitive) if spec else raw
+    return bind_columns(raw, spec, case_sensitive, traced) if spec else raw
 
 
 def write_features(df: DataFrame, path: str) -> None:

@@ -124,8 +124,11 @@ ONSET = f""", c AS (SELECT case_id, {flag_list(CLASS_TESTS, 'TRUE')}, min(tto_da
   AS exposure, {TTO_BIN.format('tto')} AS tto_bin, outcome FROM c)"""
 
 
-@query(CARRIER + ONSET + """ SELECT exposure, tto_bin, count(*) AS total_reports, CAST(sum(outcome) AS BIGINT) AS outcome_cases,
-  round(100.0 * sum(outcome) / nullif(count(*), 0), 2) AS rate_pct FROM l WHERE exposure IS NOT NULL GROUP BY 1, 2""")
+ONSET_SQL = CARRIER + ONSET + """ SELECT exposure, tto_bin, count(*) AS total_reports, CAST(sum(outcome) AS BIGINT) AS outcome_cases,
+  round(100.0 * sum(outcome) / nullif(count(*), 0), 2) AS rate_pct FROM l WHERE exposure IS NOT NULL GROUP BY 1, 2"""
+
+
+@query(ONSET_SQL)
 def onset_table(spark, sf_dir):
     return DS.onset_table(onset_cases(report_table(spark, sf_dir), DEMO_CLASSES, DEMO_OUTCOMES), LABELS)
 

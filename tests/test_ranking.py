@@ -147,3 +147,20 @@ def test_all_measures_from_one_table(scored):
     assert sorted(every.calibration.collect()) == sorted(EV.calibration_table(df).collect())
     assert every.hosmer_lemeshow.collect() == EV.hosmer_lemeshow(df).collect()
     assert sorted(every.decision_curve.collect()) == sorted(EV.decision_curve(df).collect())
+
+
+def test_ranges_meet_without_a_fold_over_cuts(spark):
+    import random
+
+    rng = random.Random(9)
+    values = [(rng.choice("ab"), rng.randint(-50, 50), rng.randint(1, 5)) for _ in range(400)]
+    sums = {}
+    for g, v, n in values:
+        sums[g, v] = sums.get((g, v), 0) + n
+    df = spark.createDataFrame([(g, v, n) for (g, v), n in sums.items()], "g string, v int, n long")
+    for ranges in (1, 3, 50, 1000):
+        totals = running_totals(df, "v", ["n"], ["g"], ranges)
+        plan = totals._jdf.queryExecution().optimizedPlan().toString()
+        assert "aggregate(" not in plan and "lambda" not in plan
+        got = {(r["g"], r["v"]): (r["n_upto"], r["n_all"]) for r in totals.collect()}
+        assert got == {(g, v): (sum(n for (h, w), n in sums.items() if h == g and w <= v), sum(n for (h, _), n in sums.items() if h == g)) for g, v in sums}

@@ -137,3 +137,23 @@ def test_conflicting_attributes_of_a_case(spark):
     many = C.subgroup_universe(reports, CLASSES, [1], "contains", serious_flags=["s"], multi=True)
     assert {(r["case_id"], r["sex_grp"], r["region_grp"]) for r in many.collect()} == {
         (1, "F", "US"), (1, "M", "JAPAN"), (2, "Other", "OTHER")}
+
+
+def test_grid_equals_one_stratification_at_a_time(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from casewatch.operators import signals as SG
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice("FM"), rng.choice(["a", "b", None]), rng.choice("xyz"), rng.randint(0, 1), rng.randint(0, 1), rng.randint(0, 1)) for i in range(300)]
+    cases = spark.createDataFrame(rows, "case_id long, s string, g string, r string, e1 int, e2 int, outcome int")
+    labels, sets = {"e1": "One", "e2": "Two"}, [("s",), ("g",), ("s", "r")]
+    grid = SG.stratified_grid(cases, labels, sets)
+    for names in sets:
+        want = SG.stratified_counts(cases.dropna(subset=list(names)), labels, list(names))
+        own = grid.where(F.col("stratification") == " x ".join(names)).select(want.columns)
+        assert sorted(map(tuple, own.collect())) == sorted(map(tuple, want.collect()))
+    scans = grid._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD")
+    assert scans == 1 and SG.stratified_grid(cases.where("false"), labels, sets).collect() == []

@@ -109,3 +109,34 @@ def test_onset_source_reaches_the_onset_table(spark):
     )
     row = onset_cases(bind_columns(raw, ONSET_SOURCE), roles=None).first()
     assert row["tto_days"] == 5.0
+
+
+def test_chain_is_evaluated_by_row_and_traced(spark):
+    raw = spark.createDataFrame(
+        [(1, "D", "PS", 1, None, "lupus"), (2, "D", "PS", 1, "LUPUS", "x"), (3, "D", "PS", 1, None, None)],
+        "primaryid long, drugname string, role_cod string, pt_code long, indi_pt_norm string, indi_pt string",
+    )
+    bound = S.bind_columns(raw, S.FIRST_SOURCE, traced=("indication", "sex", "drug"))
+    got = {r["case_id"]: (r["indication"], r["indication_from"], r["sex_from"], r["drug_from"]) for r in bound.collect()}
+    assert got == {
+        1: ("lupus", "indi_pt", None, "drugname"), 2: ("LUPUS", "indi_pt_norm", None, "drugname"), 3: (None, None, None, "drugname")
+    }
+    one = S.bind_columns(raw.drop("indi_pt_norm"), S.FIRST_SOURCE, traced=("indication",))
+    assert {r["indication_from"] for r in one.collect()} == {"indi_pt", None}
+    with pytest.raises(ValueError, match="nothing"):
+        S.bind_columns(raw, S.FIRST_SOURCE, traced=("nothing",))
+
+
+def test_age_bands_are_bound_only_without_numbers(spark):
+    from casewatch.operators.cases import subgroup_universe
+    from casewatch.plans.case_features import case_features
+
+    rows = [(1, "TACROLIMUS", "PS", 1, "65+"), (1, "TACROLIMUS", "PS", 1, " 18-39 "), (2, "TACROLIMUS", "PS", 1, "elderly"), (3, "TACROLIMUS", "PS", 1, None)]
+    raw = spark.createDataFrame(rows, "primaryid long, drugname string, role_cod string, pt_code long, age_group string")
+    bound = S.bind_columns(raw, S.FIRST_SOURCE)
+    assert "age_group" in bound.columns
+    assert {r["case_id"]: r["age_cat"] for r in case_features(bound).collect()} == {1: "18-39", 2: None, 3: None}
+    assert {r["case_id"]: r["age_group"] for r in subgroup_universe(bound).collect()} == {1: "18-39", 2: None, 3: None}
+    numbers = S.bind_columns(raw.withColumn("age", F.lit("70")), S.FIRST_SOURCE)
+    assert "age_group" not in numbers.columns
+    assert {r["age_cat"] for r in case_features(numbers).collect()} == {"65+"}
