@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from math import factorial, lgamma
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewatch.operators.filters import finite_pairs
@@ -134,6 +134,26 @@ def calibration_of(counts: DataFrame, bins: int = 10, closed: str = "right") ->
     )
 
 
+def equal_count_bins(df: DataFrame, y: str = "y", p: str = "p", bins: int = 10) -> DataFrame:
+    """Calibration in bins of about equal counts that keep equal scores together: (bin, low, high, n, mean_pred, obs_rate).
+
+    A bin ends at the first score that brings the running count to its share of all rows; a score with many rows may
+    cover several shares, and bins that would be empty are left out, so there can be fewer than `bins`. Bounds are
+    scores. Unlike quantile edges, which may lie between scores, the cut depends on the running counts alone.
+    """
+    ranked = running_totals(score_counts(df, y, p), "p", ["n"])
+    share = F.expr(f"(n_upto - n) * {int(bins)} div n_all")
+    found = ranked.groupBy(share.alias("_share")).agg(
+        F.min("p").alias("low"), F.max("p").alias("high"), F.sum("n").alias("n"),
+        F.sum(F.col("n") * F.col("p")).alias("_p"), F.sum("pos").alias("_pos"),
+    )
+    number = F.row_number().over(Window.orderBy("_share"))  # at most `bins` rows
+    return found.select(
+        number.alias("bin"), "low", "high", F.col("n").cast("bigint").alias("n"),
+        (F.col("_p") / F.col("n")).alias("mean_pred"), (F.col("_pos") / F.col("n")).alias("obs_rate"),
+    )
+
+
 def chi_square_upper_tail(x: Column, df: int) -> Column:
     """P(chi-square > x) for even degrees of freedom (closed form)."""
     if df < 2 or df % 2:

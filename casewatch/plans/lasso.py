@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -264,3 +264,17 @@ def lock_manifest(path: LassoPath, dictionary, indication_levels: Sequence[str],
         "lambda_min": path.lambda_min, "lambda_1se": path.lambda_1se,
         "coefficients_1se": {INTERCEPT: path.at("1se").intercept, **dict(zip(path.terms, path.at("1se").beta))},
     }
+
+
+def lock_record(
+    path: LassoPath, dictionary: Mapping[str, Sequence[str]], levels: Mapping[str, Sequence[str]], folds: int = 10, seed: int = SEED
+) -> dict:
+    """All that defines a fitted path, for `sources.locks`: settings, terms, dictionary, level order, penalties and
+    the coefficients at both chosen penalties."""
+    fitted = {rule: {"intercept": float(path.at(rule).intercept), "beta": [float(b) for b in path.at(rule).beta]} for rule in ("min", "1se")}
+    return {
+        "family": "binomial", "link": "logit", "alpha": 1, "seed": seed, "folds": folds, "terms": list(path.terms),
+        "dictionary": {k: list(v) for k, v in dictionary.items()}, "levels": {k: list(v) for k, v in levels.items()},
+        "penalties": [float(f.penalty) for f in path.fits], "lambda_min": float(path.lambda_min), "lambda_1se": float(path.lambda_1se),
+        "coefficients": fitted,
+    }

@@ -91,6 +91,16 @@ def calibration_equal_frequency_bins(spark, sf_dir):
     return rounded(table, "mean_pred", "obs_rate", "sd_pred")
 
 
+@query(CARRIER + SCORES + f""", t AS (SELECT round(p, 1) AS p, count(*) AS n, sum(y) AS pos FROM s GROUP BY 1),
+ k AS (SELECT *, (sum(n) OVER (ORDER BY p) - n) * 10 // sum(n) OVER () AS share FROM t)
+ SELECT CAST(row_number() OVER (ORDER BY share) AS INTEGER) AS bin, min(p) + 0.0 AS low, max(p) + 0.0 AS high, CAST(sum(n) AS BIGINT) AS n,
+ {r6('sum(n * p) / sum(n)')} AS mean_pred, {r6('sum(pos) / sum(n)')} AS obs_rate FROM k GROUP BY share""")
+def calibration_tied_scores(spark, sf_dir):
+    # Scores of one digit: a few values hold most rows.
+    tied = scores(spark, sf_dir).withColumn("p", F.round("p", 1))
+    return rounded(EV.equal_count_bins(tied), "low", "high", "mean_pred", "obs_rate")
+
+
 @query(CARRIER + SCORES + EDGES.format(">") + f""", g AS (SELECT bin, count(*) AS n, sum(y) AS o1, sum(p) AS e1 FROM b GROUP BY 1),
  h AS (SELECT sum((o1 - e1) ** 2 / e1 + (o1 - e1) ** 2 / (n - e1)) AS x FROM g)
  SELECT round(x, 5) + 0.0 AS statistic, 8 AS df, {r6('exp(-x / 2) * (1 + x / 2 + (x / 2) ** 2 / 2 + (x / 2) ** 3 / 6)')} AS p_value FROM h""")

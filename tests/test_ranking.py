@@ -164,3 +164,18 @@ def test_ranges_meet_without_a_fold_over_cuts(spark):
         assert "aggregate(" not in plan and "lambda" not in plan
         got = {(r["g"], r["v"]): (r["n_upto"], r["n_all"]) for r in totals.collect()}
         assert got == {(g, v): (sum(n for (h, w), n in sums.items() if h == g and w <= v), sum(n for (h, _), n in sums.items() if h == g)) for g, v in sums}
+
+
+def test_equal_count_bins_keep_ties_together(spark):
+    from casewatch.operators.evaluate import equal_count_bins
+
+    def bins(scores, g):
+        df = spark.createDataFrame([(float(p), i % 2) for i, p in enumerate(scores)], "p double, y int")
+        return [(r["bin"], r["low"], r["high"], r["n"]) for r in equal_count_bins(df, bins=g).orderBy("bin").collect()]
+
+    # By hand: a bin ends at the first score whose running count reaches its share of all rows.
+    assert bins([1, 2, 3, 4, 5, 6, 7, 8, 9, 10], 5) == [(1, 1, 2, 2), (2, 3, 4, 2), (3, 5, 6, 2), (4, 7, 8, 2), (5, 9, 10, 2)]
+    assert bins([1, 2, 3, 4, 5, 6, 7], 3) == [(1, 1, 3, 3), (2, 4, 5, 2), (3, 6, 7, 2)]
+    assert bins([0.1] * 6 + [0.2] + [0.3] * 2 + [0.9], 5) == [(1, 0.1, 0.1, 6), (2, 0.2, 0.3, 3), (3, 0.9, 0.9, 1)]
+    assert bins([0.5] * 8, 10) == [(1, 0.5, 0.5, 8)]
+    assert bins([0.1, 0.2], 10) == [(1, 0.1, 0.1, 1), (2, 0.2, 0.2, 1)] and bins([], 4) == []

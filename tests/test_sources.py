@@ -140,3 +140,72 @@ def test_age_bands_are_bound_only_without_numbers(spark):
     numbers = S.bind_columns(raw.withColumn("age", F.lit("70")), S.FIRST_SOURCE)
     assert "age_group" not in numbers.columns
     assert {r["age_cat"] for r in case_features(numbers).collect()} == {"65+"}
+
+
+def folder_names(path):
+    return sorted(p.name for p in path.iterdir())
+
+
+def test_failed_write_leaves_the_old_result(spark, tmp_path):
+    target = str(tmp_path / "result")
+    rows = [(i, f"v{i}") for i in range(20)]
+    S.write_table(spark.createDataFrame(rows, "k int, v string").orderBy(F.desc("k")), target)
+    read = lambda: [tuple(r) for r in spark.read.csv(target, header=True, schema="k int, v string").collect()]
+    before = (tmp_path / "result").stat().st_ino
+    assert sorted(read()) == rows
+    failing = spark.range(8).select(F.when(F.col("id") == 7, F.raise_error(F.lit("no"))).otherwise(F.col("id")).cast("int").alias("k"))
+    with pytest.raises(Exception, match="no"):
+        S.write_table(failing, target)
+    assert sorted(read()) == rows and folder_names(tmp_path) == ["result"] and (tmp_path / "result").stat().st_ino == before
+    S.write_table(spark.createDataFrame([(5, "new")], "k int, v string"), target)
+    assert read() == [(5, "new")] and folder_names(tmp_path) == ["result"]
+
+
+def test_rows_keep_their_order_over_part_files(spark, tmp_path):
+    target = str(tmp_path / "ordered")
+    S.replace(spark.range(1000).repartitionByRange(5, F.desc("id")).sortWithinPartitions(F.desc("id")), target, "csv")
+    parts = sorted(p for p in (tmp_path / "ordered").iterdir() if p.suffix == ".csv")
+    assert [int(x) for p in parts for x in p.read_text().split()] == list(range(999, -1, -1)) and len(parts) > 1
+
+
+def test_reports_by_case_are_grouped_without_a_shuffle(spark, tmp_path):
+    from casewatch.operators.cases import subgroup_universe
+
+    columns = "case_id long, drug string, role string, pt_code long, sex string, region string, age string, indication string"
+    rows = [(i % 50, "TACROLIMUS", "PS", i % 7, "FM"[i % 2], "US", str(i % 90), "lupus") for i in range(600)]
+    raw = spark.createDataFrame(rows, columns)
+    stored = S.write_by_case(raw, "reports_by_case_test", str(tmp_path / "by-case"), 4)
+    cases = subgroup_universe(stored)
+    assert "Exchange" not in cases._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in subgroup_universe(raw)._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(repr, cases.collect())) == sorted(map(repr, subgroup_universe(raw).collect()))
+    spark.sql("DROP TABLE reports_by_case_test")
+
+
+RECORD = {
+    "family": "binomial", "link": "logit", "alpha": 1, "seed": 1, "folds": 10, "terms": ["a", "b"], "dictionary": {"m": ["X", "Y"]},
+    "levels": {"sex": ["F", "M"]}, "penalties": [0.1, 0.05], "lambda_min": 0.05, "lambda_1se": 0.1,
+    "coefficients": {"min": {"intercept": -1.1, "beta": [0.25, 0.5]}, "1se": {"intercept": -1.0, "beta": [0.25, 0.0]}},
+}
+
+
+def test_locks_are_named_by_their_content(spark, tmp_path):
+    folder = str(tmp_path)
+    name = S.write_lock(spark, RECORD, folder)
+    assert S.write_lock(spark, dict(reversed(RECORD.items())), folder) == name == S.lock_id(RECORD)
+    assert S.read_lock(spark, folder, name, {"m": ("Y", "X")}, {"sex": ("F", "M")}) == RECORD
+    for changed in ({"seed": 2}, {"penalties": [0.1, 0.05000000000000001]}, {"terms": ["b", "a"]}, {"levels": {"sex": ["M", "F"]}}):
+        assert S.lock_id(RECORD | changed) != name
+    with pytest.raises(S.LockMismatch, match="dictionary"):
+        S.read_lock(spark, folder, name, {"m": ("X",)})
+    with pytest.raises(S.LockMismatch, match="levels"):
+        S.read_lock(spark, folder, name, levels={"sex": ("M", "F")})
+    with pytest.raises(ValueError, match="lacks"):
+        S.write_lock(spark, {"family": "binomial"}, folder)
+    spec = S.locked_spec(RECORD, "min")
+    assert (spec.intercept, spec.coefficients, spec.model_id) == (-1.1, {"a": 0.25, "b": 0.5}, name)
+    part = next((tmp_path / name).glob("part-*"))
+    (tmp_path / name / f".{part.name}.crc").unlink()
+    part.write_text(part.read_text().replace("-1.1", "-1.2"))
+    with pytest.raises(S.LockMismatch, match="hash"):
+        S.read_lock(spark, folder, name)
