@@ -38,40 +38,47 @@ def case_terms(reports: DataFrame, levels: Mapping[str, str] = TERM_COLUMNS) ->
 
 @dataclass(frozen=True)
 class SignalTables:
-    """Written tables that both exposure modes read, each derived from the reports once.
+    """What the counts of an exposure mode read.
 
-    `terms`: distinct (case_id, level, term), with one row without level for each case; `pairs`: distinct
-    (case_id, drug) of drugs that the dictionary names, in the wanted roles.
+    `case_terms`: distinct (case_id, level, term); `pairs`: (case_id, drug) of drugs that the dictionary names, in the
+    wanted roles; `n_cases`: the number of all cases, as a column.
     """
 
-    terms: DataFrame
+    case_terms: DataFrame
     pairs: DataFrame
+    n_cases: Column
 
-    @property
-    def n_cases(self) -> Column:
-        return _total(self.terms.filter(F.col("level").isNull()))
 
-    @property
-    def case_terms(self) -> DataFrame:
-        return self.terms.filter(F.col("level").isNotNull())
+def signal_tables(
+    reports: DataFrame,
+    dictionary: Dictionary,
+    levels: Mapping[str, str] = TERM_COLUMNS,
+    how: str = "contains",
+    roles: Iterable[str] | None = D.SUSPECT_ROLES,
+) -> SignalTables:
+    """The tables of one mode as parts of its plan: each is read once, so nothing is written."""
+    words = [word for words in dictionary.values() for word in words]
+    pairs = reports.filter(in_roles(roles) & match("drug", words, how)).select("case_id", "drug")
+    return SignalTables(case_terms(reports, levels), pairs, _total(reports.select("case_id").distinct()))
 
 
-def signal_tables(
+def written_signal_tables(
     reports: DataFrame,
     dictionary: Dictionary,
     levels: Mapping[str, str] = TERM_COLUMNS,
     how: str = "contains",
     roles: Iterable[str] | None = D.SUSPECT_ROLES,
 ) -> SignalTables:
-    """Write the two tables to the shared folder."""
+    """The same for several modes, written to the shared folder: each is derived from the reports once."""
     entries = [F.struct(F.lit(k).alias("level"), F.col(c).alias("term")) for k, c in levels.items()]
     case = F.struct(F.lit(None).cast("string").alias("level"), F.lit(None).cast("string").alias("term"))
+    # one row without a level for each case, also for those without a term
     terms = reports.select("case_id", F.inline(F.array(*entries, case))).filter(
         F.col("level").isNull() | (F.length("term") > 0)
     )
-    words = [word for words in dictionary.values() for word in words]
-    pairs = reports.filter(in_roles(roles) & match("drug", words, how)).select("case_id", "drug")
-    return SignalTables(cut_lineage(terms.distinct()), cut_lineage(pairs.distinct()))
+    terms = cut_lineage(terms.distinct())
+    pairs = cut_lineage(signal_tables(reports, dictionary, levels, how, roles).pairs.distinct())
+    return SignalTables(terms.filter(F.col("level").isNotNull()), pairs, _total(terms.filter(F.col("level").isNull())))
 
 
 def _total(df: DataFrame) -> Column:
@@ -104,7 +111,7 @@ def class_counts(
 
     Exposure is held as one 0/1 column per class, so the term rows are joined to the exposed cases once
     and summed per term. Non-exposed and non-event cells come from the margins, so no absent pair is
-    ever formed. `tables` takes the written tables of the same dictionary, levels, match and roles.
+    ever formed. `tables` takes those of the same dictionary, levels, match and roles.
     """
     tables = tables or signal_tables(reports, dictionary, levels, how, roles)
     exposed = exposed_flags(tables.pairs, dictionary, how, None)
@@ -214,9 +221,9 @@ def signal_index(
     def written(given: Mapping) -> dict:
         return {k: given[k] for k in ("levels", "how", "roles") if k in given}
 
-    shared = signal_tables(reports, dictionary, **written(for_class))
+    shared = written_signal_tables(reports, dictionary, **written(for_class))
     same = written(for_class) == written(for_drug)
-    other = shared if same else signal_tables(reports, dictionary, **written(for_drug))
+    other = shared if same else written_signal_tables(reports, dictionary, **written(for_drug))
     classes = signal_table(class_counts(reports, dictionary, tables=shared, **for_class), "Class")
     drugs = signal_table(drug_counts(reports, dictionary, tables=other, **for_drug), "Drug")
     both = classes.unionByName(drugs, allowMissingColumns=True)
