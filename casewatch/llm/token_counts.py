@@ -3,8 +3,8 @@
 Changes are signed: an insert adds a document and its tokens to its key, a delete takes them away, a revision
 takes the old counts from the old key and adds the new ones to the new key. Totals are sums of deltas, so changes
 may come in any order. A batch is committed under its id: its summed deltas (one row per key) go to a folder of
-that name, and a batch whose folder is complete is not applied again; a half-written one is replaced. Replays
-therefore change nothing.
+that name, and a batch whose folder is complete is not applied again; a half-written one is not counted and is
+replaced by the next commit of its id. Replays therefore change nothing. Before the first commit there are no totals.
 
 Null source, language or version is a key value of its own. Null counts are zero. A key whose documents and tokens
 are both zero is not listed.
@@ -74,10 +74,14 @@ class TokenTotals:
             raise ValueError("a batch id may hold letters, digits, '.', '_' and '-'")
         return f"{self.folder}/batch-{batch}"
 
+    def _complete(self, pattern: str) -> list[str]:
+        """Folders that match and hold the job's success file, which the driver writes last."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
+        return [f.getPath().getParent().toString() for f in found or ()]
+
     def committed(self, batch: str) -> bool:
-        """The job's success file is written last, by the driver."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._path(batch)}/_SUCCESS")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return bool(self._complete(self._path(batch)))
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Apply a batch once; False if it was applied before."""
@@ -87,5 +91,8 @@ class TokenTotals:
         return True
 
     def totals(self) -> DataFrame:
-        parts = self.spark.read.schema(_SCHEMA).option("recursiveFileLookup", "true").parquet(self.folder)
+        batches = self._complete(f"{self.folder}/batch-*")
+        if not batches:
+            return self.spark.createDataFrame([], _SCHEMA)
+        parts = self.spark.read.schema(_SCHEMA).parquet(*batches)
         return summed(parts).where("n_docs <> 0 or n_tokens <> 0")

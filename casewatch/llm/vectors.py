@@ -47,6 +47,13 @@ def merge_best(parts: DataFrame, query: str, k: int, dtype: str) -> DataFrame:
         current, ids, scores = None, None, None
         done: list[list] = [[], [], []]
 
+        def top(some_ids, some_scores):
+            order = np.lexsort((-some_scores, some_ids))  # of a repeated id the best score stays
+            order = order[np.diff(some_ids[order], prepend=some_ids[order[:1]] - 1) != 0]
+            some_ids, some_scores = some_ids[order], some_scores[order]
+            keep = best(some_scores, some_ids, k)
+            return some_ids[keep], some_scores[keep]
+
         def flush():
             out = pa.RecordBatch.from_arrays([pa.array(done[0], pa.int64()), pa.array(done[1], pa.binary()), pa.array(done[2], pa.binary())], [query, "ids", "scores"])
             for d in done:
@@ -63,12 +70,9 @@ def merge_best(parts: DataFrame, query: str, k: int, dtype: str) -> DataFrame:
                 new_ids, new_scores = np.frombuffer(i, dtype=np.int64), np.frombuffer(s, dtype=kind)
                 if q != current:
                     close()
-                    current, ids, scores = q, new_ids, new_scores
+                    current, (ids, scores) = q, top(new_ids, new_scores)
                     continue
-                both, at = np.unique(np.concatenate([ids, new_ids]), return_index=True)
-                values = np.concatenate([scores, new_scores])[at]
-                keep = best(values, both, k)
-                ids, scores = both[keep], values[keep]
+                ids, scores = top(np.concatenate([ids, new_ids]), np.concatenate([scores, new_scores]))
             if len(done[0]) > 1000:
                 yield flush()
         close()

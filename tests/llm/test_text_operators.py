@@ -274,3 +274,16 @@ def test_token_totals_are_additive_and_idempotent(spark, tmp_path):
     assert {tuple(r) for r in kept.totals().collect()} == {("s", None, "v1", 1, 0), ("s", "de", "v2", 1, 5)}
     kept.commit("c", token_counts.deletes(changed.selectExpr("new_source source", "new_lang lang", "new_tokenizer tokenizer", "new_n_tokens n_tokens")))
     assert {tuple(r) for r in kept.totals().collect()} == {("s", None, "v1", 1, 0)}
+
+
+def test_only_committed_batches_count(spark, tmp_path):
+    folder = tmp_path / "totals"
+    kept = token_counts.TokenTotals(spark, str(folder))
+    assert kept.totals().collect() == [] and kept.totals().columns == ["source", "lang", "tokenizer", "n_docs", "n_tokens"]
+    rows = lambda n: spark.createDataFrame([(None, "en", "v1", n)], "source string, lang string, tokenizer string, n_tokens long")
+    assert kept.commit("a", token_counts.inserts(rows(3))) and kept.commit("b", token_counts.inserts(rows(50)))
+    assert kept.commit("none", token_counts.inserts(rows(1).where("false")))
+    (folder / "batch-b" / "_SUCCESS").unlink()  # as left by a job that failed
+    assert not kept.committed("b") and [tuple(r) for r in kept.totals().collect()] == [(None, "en", "v1", 1, 3)]
+    assert kept.commit("b", token_counts.inserts(rows(4))) and not kept.commit("b", token_counts.inserts(rows(4)))
+    assert [tuple(r) for r in kept.totals().collect()] == [(None, "en", "v1", 2, 7)]

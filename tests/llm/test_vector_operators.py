@@ -1,5 +1,6 @@
 """Vector searches against brute force, and the pipeline's stages on a small table."""
 
+import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +108,24 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept == {1: f"one {passage}", 3: " ".join(f"q{i}" for i in range(90)), 4: None, None: "no id"}
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert packed.agg(F.countDistinct("sequence_id")).first()[0] == 1 and packed.count() == 4
+
+
+def test_a_repeated_id_keeps_its_best_score(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(rng.randint(0, 30), [rng.uniform(-1, 1) for _ in range(4)]) for _ in range(90)] + [(None, [1.0] * 4), (50, None), (50, [0.5, None, 1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    floors = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and None not in v]
+    for block in (1, 7, 64):
+        want = {}
+        for q, v in floors:
+            if q % 10 == 0:
+                best = want.setdefault(q, {})
+                for i, w in floors:
+                    if i != q:
+                        best[i] = max(best.get(i, -1 << 60), sum(a * b for a, b in zip(v, w)))
+        got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(frame, lambda c: c % 10 == 0, k=5, block=block, group=1).collect()}
+        assert got == {
+            (q, rank, i, s) for q, best in want.items() for rank, (i, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5], 1)
+        }
