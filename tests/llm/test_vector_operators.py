@@ -1,6 +1,7 @@
 """Vector searches against brute force, and the pipeline's stages on a small table."""
 
 import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
