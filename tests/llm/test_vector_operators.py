@@ -41,7 +41,36 @@ def test_pruning_skips_blocks():
     blocks = [(np.arange(50) + 50 * b, rng.integers(0, 5, (50, 8)) + (100 if b == 0 else 0)) for b in range(10)]
     q = np.ones((1, 8), dtype=np.int64)
     lists, scored = topk.search(q, np.array([-1]), np.array([np.iinfo(np.int64).min]), blocks, 5)
-    assert scored == 1 and lists[0][1].max() < 50
+    assert scored.tolist() == [50] and lists[0][1].max() < 50
+
+
+def test_clustered_vectors_reach_few_blocks(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 32))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    x = centres[rng.integers(0, 40, 4000)] + 0.02 * rng.normal(size=(4000, 32))
+    x[::100] *= 0.5  # norms differ
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = np.floor(256 * x).astype(np.int64)
+    want = set()
+    for q in range(0, 4000, 50):
+        scores = whole @ whole[q]
+        order = [i for i in np.lexsort((np.arange(4000), -scores)) if i != q][:5]
+        want |= {(q, k, int(i), int(scores[i])) for k, i in enumerate(order, 1)}
+    ask = dict(is_query=lambda c: c % 50 == 0, block=32, group=2)
+    assert {tuple(r) for r in topk.top_k(frame, **ask).collect()} == want
+    scored = topk.work(frame, **ask).collect()
+    assert len(scored) == 80 and sum(r["n_scored"] for r in scored) < 0.3 * 80 * 4000
+
+
+def test_vectors_of_odd_widths(spark):
+    rows = [(0, []), (50, [1.0]), (50, [1.0]), (1, [2.0, -1.0, 0.5]), (2, [0.0]), (100, None), (None, [1.0])]
+    frame = spark.createDataFrame([(i, v, "x", 1.0) for i, v in rows], "vec_id long, embedding array<double>, rank string, score double")
+    got = {tuple(r) for r in topk.top_k(frame, lambda c: c % 50 == 0).collect()}
+    first = {(0, 1, 1, 0), (0, 2, 2, 0), (0, 3, 50, 0)}
+    assert got == first | {(50, 1, 1, 256 * 512), (50, 2, 0, 0), (50, 3, 2, 0)}
+    assert topk.top_k(frame.where("vec_id = 0"), lambda c: c % 50 == 0).count() == 0
+    assert topk.top_k(frame.where("vec_id = 0 or vec_id is null"), lambda c: c % 50 == 0).count() == 0
 
 
 def test_nearest_neighbours(spark, rows):
