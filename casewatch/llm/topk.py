@@ -8,7 +8,7 @@ is still scored, for ties).
 
 A query's k-th best starts from the GROUP blocks around itself. Then it goes to the FIRST tiles of highest bound, and with the
 k-th best of these to the others whose bound still reaches it, and to no more. Inside a tile blocks are scored whole in order of
-falling bound. Only lists of k go on. Work is queries x vectors at most, for vectors without any clusters; the copies of a
+falling bound, the first TURNS in each query's own order, the others in one order for the queries that they still matter to. Only lists of k go on. Work is queries x vectors at most, for vectors without any clusters; the copies of a
 query are as many as the tiles it reaches.
 
 Sizes: a task holds one tile and streams queries past it. There are at least shuffle-partitions tiles, more so that a tile
@@ -30,8 +30,9 @@ from casewatch.llm import vectors as V
 from casewatch.llm import words as W
 
 SCALE = 256
-BLOCK = 256
-GROUP = 8
+BLOCK = 64
+GROUP = 16
+TURNS = 8
 PIVOTS = 256
 FIRST = 2
 TILE = 1 << 17
@@ -69,22 +70,31 @@ def search(q: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, blocks: list
     kth = floor.copy()
     none = np.zeros(0, dtype=np.int64)
     lists, scored = [(none, none)] * len(q), np.zeros(len(q), dtype=np.int64)
-    for turn in range(len(blocks)):
+    todo = np.ones(bound.shape, dtype=bool)
+
+    def score(b: int, rows: np.ndarray) -> None:
+        ids, x = blocks[b]
+        scores = products(q[rows], x)
+        scored[rows] += len(ids)
+        todo[rows, b] = False
+        for at in np.flatnonzero((scores >= kth[rows, None]).any(axis=1)):
+            row, s = rows[at], scores[at]
+            use = (s >= kth[row]) & (ids != query_ids[row])
+            if use.any():
+                lists[row] = _top(np.concatenate([lists[row][0], s[use]]), np.concatenate([lists[row][1], ids[use]]), k)
+                if len(lists[row][0]) == k:
+                    kth[row] = max(kth[row], lists[row][0][-1])
+
+    for turn in range(min(TURNS, len(blocks))):  # each query's own order
         at = order[:, turn]
         live = np.flatnonzero(bound[np.arange(len(q)), at] >= kth)
-        if not len(live):
-            break
         for b in np.unique(at[live]):
-            rows = live[at[live] == b]
-            ids, x = blocks[b]
-            scores = products(q[rows], x)
-            scored[rows] += len(ids)
-            for row, s in zip(rows, scores):
-                use = (s >= kth[row]) & (ids != query_ids[row])
-                if use.any():
-                    lists[row] = _top(np.concatenate([lists[row][0], s[use]]), np.concatenate([lists[row][1], ids[use]]), k)
-                    if len(lists[row][0]) == k:
-                        kth[row] = max(kth[row], lists[row][0][-1])
+            score(b, live[at[live] == b])
+    left = np.where(todo, bound, np.iinfo(np.int64).min).max(axis=0, initial=np.iinfo(np.int64).min)
+    for b in np.argsort(-left.astype(np.float64), kind="stable"):  # the rest for all queries that a block still matters to
+        rows = np.flatnonzero(todo[:, b] & (bound[:, b] >= kth))
+        if len(rows):
+            score(b, rows)
     return lists, scored
 
 
