@@ -122,6 +122,39 @@ def test_one_very_long_vector(spark):
     assert hits >= 0.9 * 2000
 
 
+@pytest.mark.parametrize("n", [20_000])
+def test_cells_save_products(n):
+    """Recall of the 20 best and products a query, at production parameters, on directions without any clusters."""
+    rng = np.random.default_rng(6)
+    x = ann.directions(rng.normal(size=(n, 64)))
+    probes = int(128 * 128 * ann.SHARE * (200_000 / n) ** 0.25)
+    found, products = np.zeros((50, n), dtype=bool), 0
+    for t in range(ann.TABLES):
+        own = np.concatenate([a * 128 + b for a, b in (ann.cells(x[i : i + 5000], t, 1) for i in range(0, n, 5000))])[:, 0]
+        a, b = ann.cells(x[:50], t, probes)
+        for i, wanted in enumerate(a * 128 + b):
+            some = np.isin(own, wanted)
+            products += some.sum()
+            found[i] |= some
+    scores = x[:50] @ x.T
+    scores[np.arange(50), np.arange(50)] = -2
+    best = np.argsort(-scores, axis=1)[:, :20]
+    recall, share = np.take_along_axis(found, best, axis=1).mean(), products / 50 / n
+    print(n, recall, share)
+    assert recall >= 0.9 and share <= 0.3
+
+
+def test_whole_search_where_cells_hold_too_few(spark):
+    rows = [(i, [float(i % 7), 1.0, float(i)]) for i in range(700)] + [(900, [-1.0, -1.0, -1e-3]), (900, [-1.0, -1.0, -1e-3])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x, ids = np.array([v for _, v in rows[:-1]]), np.array([i for i, _ in rows[:-1]])
+    got = ann.nearest(frame, lambda c: c % 300 == 0, k=5, small_zone=0, tables=2).collect()
+    for q in (0, 300, 600, 900):
+        found = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)
+        assert [k for k, _ in found] == [1, 2, 3, 4, 5] and q not in [i for _, i in found]
+    assert all(r["score"] == pytest.approx(float(x[ids == r["query_id"]][0] @ x[ids == r["vec_id"]][0])) for r in got)
+
+
 def test_pipeline_stages(spark, tmp_path):
     passage = " ".join(f"p{i}" for i in range(70))
     rows = [(1, f"one {passage}", "en", "s", 10), (2, f"one {passage}", "en", "s", 10), (3, " ".join(f"q{i}" for i in range(90)) + " " + passage, "en", "s", 9), (4, None, None, None, None), (None, "no id", "en", "s", 5)]
