@@ -143,9 +143,9 @@ def signatures(docs: DataFrame, tables: int, picked: int, id_col: str, text_col:
             batch = batch.filter(batch.column(0).is_valid())
             for low, high, data, offsets in W.slices(batch.column(1)):
                 words = W.split(data, offsets)
-                sums, again = W.prefix_sums(words.hashes), W.prefix_sums(W.mix(words.hashes, 5))
                 a, b = words.first[:-1], words.first[1:]
-                same, same2 = W.run_hashes(sums, a, b), W.run_hashes(again, a, b)
+                same = W.run_hashes(W.prefix_sums(words.hashes), a, b)
+                same2 = W.run_identities(W.mix(words.hashes, 5), a, b)
                 codes = (words.hashes >> np.uint64(48)).astype("<u2")
                 keys, bins, n = [], [], np.maximum(b - a - SHINGLE + 1, 0)
                 for i, j in zip(a, b):

@@ -65,7 +65,7 @@ def _blocks(words: W.Words, sums: np.ndarray, window: int) -> tuple[np.ndarray,
     first = np.flatnonzero(fresh)
     n = np.diff([*first, len(at)])
     start = at[first]
-    identity = W.run_hashes(sums, start, start + n + window - 1) ^ W.mix(n.astype(np.uint64), 7)
+    identity = W.run_identities(words.hashes, start, start + n + window - 1) ^ W.mix(n.astype(np.uint64), 7)
     return start, n, keys[first], identity
 
 

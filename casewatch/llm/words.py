@@ -1,11 +1,15 @@
 """Hashes of words and of runs of words, computed for many documents at once inside Arrow tasks.
 
 A word is a run of bytes other than ASCII white space (0x20, 0x09-0x0D). Hashes are polynomials modulo
-2**64 over a table of byte values, finished by a mixer, so equal words have equal hashes in every task.
+2**64 over a table of byte values, finished by a mixer, so equal words have equal hashes in every task. Such
+polynomials fail on long regular sequences (a Thue-Morse word of 2,048 items and its complement are equal for every
+base), so words from LONG bytes on are hashed by BLAKE2, and runs of any length that must be told apart by
+`run_identities`, modulo the prime 2**61 - 1.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 from collections.abc import Iterator
@@ -18,6 +22,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from casewatch import session
 
 MASK = (1 << 64) - 1
+LONG = 256
+PRIME = (1 << 61) - 1
+_PRIME_BASE = 0x0B2C7A91D3E5F047
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x5851F42D4C957F2F
@@ -85,6 +92,44 @@ def gram_hashes(sums: np.ndarray, n: int) -> np.ndarray:
     return mix((sums[n:] - sums[:count]) * powers(len(sums))[1][:count]) if count else np.zeros(0, dtype=np.uint64)
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of values below it, from halves of 31 and 30 bits."""
+    low, half = np.uint64((1 << 31) - 1), np.uint64(31)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    middle = a0 * b1 + a1 * b0
+    carried = (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << half)
+    return _reduced(a1 * b1 * np.uint64(2) + carried + a0 * b0)
+
+
+_prime_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """As `powers`, modulo PRIME."""
+    for k, base in enumerate((_PRIME_BASE, pow(_PRIME_BASE, -1, PRIME))):
+        while len(_prime_powers[k]) < n:
+            known = _prime_powers[k]
+            step = np.uint64(pow(base, len(known), PRIME))
+            _prime_powers[k] = np.concatenate([known, _times(known, step)])
+    return _prime_powers[0], _prime_powers[1]
+
+
+def run_identities(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the items from `starts` to before `ends` that also tells long regular runs apart."""
+    forward, back = prime_powers(len(hashes) + 1)
+    terms = _times(_reduced(hashes), forward[: len(hashes)])
+    low, high = (np.zeros(len(hashes) + 1, dtype=np.uint64) for _ in range(2))
+    np.cumsum(terms & np.uint64((1 << 30) - 1), out=low[1:])
+    np.cumsum(terms >> np.uint64(30), out=high[1:])
+    sums = _reduced(_times(_reduced(high), np.uint64(1 << 30)) + _reduced(low))
+    return mix(_times(_reduced(sums[ends] + np.uint64(PRIME) - sums[starts]), back[starts]), 13)
+
+
 def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False, between: np.ndarray = _SPACE) -> Words:
     """Words of the documents whose bytes are data[offsets[i]:offsets[i + 1]]; offsets start at 0.
 
@@ -103,6 +148,9 @@ def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False, between: n
     starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
     table = _BYTES[_LOWER] if lower else _BYTES
     hashes = run_hashes(prefix_sums(table[data]), starts, ends)
+    for i in np.flatnonzero(ends - starts >= LONG):
+        word = data[starts[i] : ends[i]].tobytes()
+        hashes[i] = int.from_bytes(hashlib.blake2b(word.lower() if lower else word, digest_size=8).digest(), "little")
     return Words(hashes, starts, ends, np.searchsorted(starts, offsets))
 
 
