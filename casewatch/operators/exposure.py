@@ -77,25 +77,61 @@ def drug_exposures(
     )
 
 
+GRAM = 3
+
+
+def _grams(text: str, shortest: int) -> Column:
+    """Distinct substrings of `shortest` to GRAM characters; a text shorter than GRAM is its own longest gram."""
+    sizes = F.sequence(F.least(F.lit(shortest), F.length(text)), F.least(F.lit(GRAM), F.length(text)))
+    of_size = F.transform(
+        sizes, lambda size: F.transform(
+            F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(F.col(text), i, size)
+        )
+    )
+    return F.array_distinct(F.flatten(of_size))
+
+
+def rarest_grams(keys: DataFrame, grams: DataFrame) -> DataFrame:
+    """(_key, _gram): for each key the one of its grams that the fewest names have.
+
+    `grams` holds (_drug, _gram) of the names. Keys with a gram that no name has are left out: no name contains them.
+    """
+    parts = keys.select("_key").distinct().select("_key", F.explode(_grams("_key", GRAM)).alias("_gram"))
+    wanted = grams.join(parts.select("_gram").distinct(), "_gram", "left_semi")
+    sizes = wanted.groupBy("_gram").agg(F.count(F.lit(1)).alias("_names"))
+    rarest = F.min(F.struct(F.coalesce("_names", F.lit(0)).alias("_names"), "_gram"))
+    best = parts.join(sizes, "_gram", "left").groupBy("_key").agg(rarest.alias("_best"))
+    return best.filter("_best._names > 0").select("_key", F.col("_best._gram").alias("_gram"))
+
+
+def name_candidates(names: DataFrame, keys: DataFrame) -> DataFrame:
+    """(_drug, _key) pairs of which the key's rarest gram occurs in the name: all pairs that can match, few others."""
+    grams = names.select("_drug", F.explode(_grams("_drug", 1)).alias("_gram"))
+    return grams.join(rarest_grams(keys, grams), "_gram").select("_drug", "_key")
+
+
+def upper_keys(lookup: DataFrame) -> DataFrame:
+    return lookup.select(F.upper("key").alias("_key"), "label").filter(F.length("_key") > 0).distinct()
+
+
+def distinct_names(reports: DataFrame) -> DataFrame:
+    return reports.select(F.upper("drug").alias("_drug")).filter(F.length("_drug") > 0).distinct()
+
+
 def join_dictionary(reports: DataFrame, lookup: DataFrame, how: str = "exact") -> DataFrame:
     """Rows joined to a lookup table (key, label): the form for dictionaries too large to be literals.
 
     `exact` is an equi-join on the upper-cased name. `contains` first tags the distinct names, then joins
     the tags back, so substring tests grow with the vocabulary and not with the rows. Candidate keys
-    of a name are found by an equi-join on the first letters of the key, which must occur in the name.
+    of a name are found by an equi-join on the key's rarest gram of three letters, so keys that share a
+    beginning with many names do not meet them all.
     """
     upper = reports.withColumn("_drug", F.upper("drug"))
-    keys = lookup.select(F.upper("key").alias("_key"), "label").filter(F.length("_key") > 0).distinct()
+    keys = upper_keys(lookup)
     if how == "exact":
         return upper.join(keys, F.col("_drug") == F.col("_key")).drop("_drug", "_key")
-    names = upper.filter(F.length("_drug") > 0).select("_drug").distinct()
-    starts = F.transform(
-        F.sequence(F.lit(1), F.length("_drug")),
-        lambda i: F.array(*[F.substr(F.col("_drug"), i, F.lit(size)) for size in (1, 2, 3)]),
-    )
-    grams = names.select("_drug", F.explode(F.array_distinct(F.flatten(starts))).alias("_gram"))
-    candidates = grams.join(keys.withColumn("_gram", F.substring("_key", 1, 3)), "_gram")
-    tags = candidates.filter(F.contains("_drug", "_key")).select("_drug", "label").distinct()
+    matched = name_candidates(distinct_names(reports), keys).filter(F.contains("_drug", "_key"))
+    tags = matched.join(keys, "_key").select("_drug", "label").distinct()
     return upper.join(tags, "_drug").drop("_drug")
 
 

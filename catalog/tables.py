@@ -7,8 +7,8 @@ from casewatch.operators import exposure as E
 from casewatch.operators import filters as FL
 from casewatch.operators import scoring as S
 from casewatch.operators.describe import preview
-from casewatch.plans.carrier import DEMO_CLASSES, DEMO_MOLECULES, DEMO_OUTCOMES, report_table
-from casewatch.session import scratch_path
+from casewatch.plans.carrier import DEMO_CLASSES, DEMO_MOLECULES, DEMO_OUTCOMES, TABLES, report_table
+from casewatch.session import scratch_path, tune
 from casewatch import sources as SRC
 from catalog.carrier_sql import CARRIER, CLASS_ROWS, CLASS_TESTS, MOLECULE_TESTS, OUTCOME, flag_list, flags_sql
 from catalog.registry import counted, query
@@ -192,6 +192,26 @@ def join_dictionary_contains(spark, sf_dir):
     return counted(E.join_dictionary(report_table(spark, sf_dir), lookup, "contains"), "label", "role")
 
 
+@query("""
+WITH v AS (SELECT p_partkey, upper(p_name || ' ' || p_brand || ' ' || p_partkey) AS drug FROM part),
+ k AS (SELECT DISTINCT upper(p_brand || ' ' || p_partkey) AS key, p_type AS label FROM part),
+ t AS (SELECT DISTINCT p_partkey, label FROM v JOIN k ON contains(drug, key))
+SELECT label, l_returnflag AS flag, count(*) AS n FROM lineitem JOIN t ON l_partkey = p_partkey GROUP BY 1, 2""")
+def join_dictionary_large(spark, sf_dir):
+    """A dictionary with a key for each part, all of which begin alike, met by names that contain several keys."""
+    def table(name):
+        return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+    tune(spark)
+    part = table("part")
+    key = F.concat_ws(" ", "p_brand", F.col("p_partkey").cast("string"))
+    names = part.select("p_partkey", F.concat_ws(" ", "p_name", key).alias("drug"))
+    reports = table("lineitem").join(names, F.col("l_partkey") == F.col("p_partkey"))
+    lookup = part.select(key.alias("key"), F.col("p_type").alias("label"))
+    joined = E.join_dictionary(reports, lookup, "contains")
+    return counted(joined.withColumnRenamed("l_returnflag", "flag"), "label", "flag")
+
+
 @query(CARRIER + """
 SELECT role, count(*) AS n FROM m WHERE EXISTS (SELECT 1 FROM m d WHERE d.case_id = m.case_id
   AND d.role IN ('PS', 'SS') AND d.drug LIKE '%OLD%') GROUP BY 1""")

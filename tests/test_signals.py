@@ -107,6 +107,29 @@ def test_dictionary_join_with_short_and_empty_keys(spark):
     assert got == {(1, "p"), (1, "q"), (2, "r"), (5, "p"), (5, "q")}
 
 
+def test_large_dictionary_meets_few_names(spark):
+    """10,000 keys that all begin alike: the pairs looked at stay near the pairs that match."""
+    rng = random.Random(8)
+
+    def word(n):
+        return "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+
+    keys = ["ACETYL" + word(5) for _ in range(9990)] + ["A", "AC", "\u00c4B", "ACETYL", "%", "_A"] + ["TYL" + word(2) for _ in range(4)]
+    drugs = ["ACETYL" + word(7) for _ in range(2000)] + [rng.choice(keys) + " " + word(3) for _ in range(300)] + ["\u00e4bc", "", None, "x%y"]
+    names = {d.upper() for d in drugs if d}
+    reports = spark.createDataFrame(list(enumerate(drugs)), "case_id long, drug string")
+    lookup = spark.createDataFrame([(k, f"L{i % 7}") for i, k in enumerate(keys)], "key string, label string")
+    matching = {(d, k) for d in names for k in keys if k in d}
+    pairs = [tuple(r) for r in E.name_candidates(E.distinct_names(reports), E.upper_keys(lookup)).collect()]
+    assert len(pairs) == len(set(pairs)) and matching <= set(pairs)
+    assert len(pairs) < len(matching) + 2 * len(keys)
+    assert sum(d.startswith("ACE") for d in names) * len(keys) > 100 * len(pairs)  # what meeting by first letters would cost
+    label = {k: f"L{i % 7}" for i, k in enumerate(keys)}
+    want = {(i, label[k]) for i, d in enumerate(drugs) if d for k in keys if k in d.upper()}
+    joined = E.join_dictionary(reports, lookup, "contains").collect()
+    assert len(joined) == len(want) and {(r["case_id"], r["label"]) for r in joined} == want
+
+
 def test_strata_and_roll_up(spark):
     rng = random.Random(3)
     rows = [(rng.choice("xy"), rng.choice("uv"), rng.randint(0, 1), rng.randint(0, 1), rng.randint(0, 1)) for _ in range(500)]
