@@ -18,7 +18,6 @@ import hashlib
 import json
 import re
 import struct
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -352,9 +351,10 @@ def round_trip(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", te
 def token_pieces(
     docs: DataFrame, vocabulary_path: str, most: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of each document's ids and the end id, cut at `most` ids.
+    """(doc_id, piece, start, length, ids) of each document's ids and the end id, cut at `most` ids.
 
-    A longer document is cut so that all pieces but the first have `most` ids.
+    A longer document is cut so that all pieces but the first have `most` ids. `ids` holds unsigned 32-bit
+    little-endian numbers, as a training loader reads them.
     """
     W.small_batches(docs.sparkSession)
 
@@ -362,7 +362,7 @@ def token_pieces(
         encoder = plain_encoder(vocabulary_path)
         for batch in batches:
             for low, high, texts in texts_of(batch.column(1)):
-                rows, piece, start, length, crc = [], [], [], [], []
+                rows, piece, start, length, held = [], [], [], [], []
                 for row, text in enumerate(texts, low):
                     ids = np.array([*encoder(text), end_id], dtype="<u4")
                     cuts = [0, *range(len(ids) - (len(ids) - 1) // most * most, len(ids) + 1, most)]
@@ -371,11 +371,11 @@ def token_pieces(
                         piece.append(k)
                         start.append(a)
                         length.append(b - a)
-                        crc.append(zlib.crc32(ids[a:b].tobytes()))
-                columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+                        held.append(ids[a:b].tobytes())
+                columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(held, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids"])
 
-    return _narrow(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return _narrow(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
 # The compiled pattern below runs out of stack on long white space; such texts go to the tokenizers library.

@@ -155,5 +155,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Tokenize, cut and pack whole documents; one row per piece."""
+    """Tokenize, cut and pack whole documents; one row per piece, with its ids."""
     return pack(W.stored(bpe.token_pieces(docs, vocabulary_path, capacity), "pieces"), capacity)
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, length, ids, pieces) of packed documents: what a training run reads.
+
+    `ids` are the ids of all pieces in order, unsigned 32-bit little-endian; `pieces` (offset, length, doc_id, piece) say
+    where each begins. A sequence has at most `capacity` ids, so no group is large.
+    """
+    entry = F.struct("offset", "length", "doc_id", "piece", "ids")
+    held = packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), F.array_sort(F.collect_list(entry)).alias("held"))
+    joined = F.aggregate("held", F.lit(b""), lambda ids, e: F.concat(ids, e["ids"]))
+    places = F.transform("held", lambda e: F.struct(e["offset"], e["length"], e["doc_id"], e["piece"]))
+    return held.select("sequence_id", "length", joined.alias("ids"), places.alias("pieces"))

@@ -33,7 +33,10 @@ def fold(doc_id: Column) -> Column:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
+    return packed.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
+    )
 
 
 def toxic_model(docs: DataFrame, labels: DataFrame):

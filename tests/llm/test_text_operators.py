@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casewatch.llm import bpe, extraction, language_model, near_dedup, packing, queries, substring, token_counts, toxicity
+from casewatch.llm import words as W
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (4, "one two"), (None, "no id " * 60), (5, "a" * 5000), (6, "word " * 4000)]
@@ -75,8 +76,29 @@ def test_packing_places_every_piece_once(docs, odd, none):
         assert all(r["length"] == packing.CAPACITY for r in found[1:]) and sum(r["length"] for r in found) == len(ids)
         for r in found:
             part = b"".join(i.to_bytes(4, "little") for i in ids[r["start"] : r["start"] + r["length"]])
-            assert zlib.crc32(part) == r["ids_crc32"]
-    assert packing.pack_documents(none, queries.vocabulary_path()).count() == 0
+            assert part == r["ids"]
+    empty = packing.pack_documents(none, queries.vocabulary_path())
+    assert empty.count() == 0 and packing.sequences(empty).count() == 0
+
+
+def test_sequences_hold_their_pieces_in_order(spark, docs, odd, monkeypatch):
+    packed = W.stored(packing.pack_documents(docs.union(odd), queries.vocabulary_path(), 256), "packed")
+    at = defaultdict(list)
+    for r in packed.collect():
+        at[r["sequence_id"]].append((r["offset"], r["length"], r["doc_id"], r["piece"], bytes(r["ids"])))
+    rows = packing.sequences(packed).collect()
+    assert {r["sequence_id"] for r in rows} == set(at) and len(rows) == len(at)
+    for r in rows:
+        held = sorted(at[r["sequence_id"]], key=lambda e: e[0])
+        assert bytes(r["ids"]) == b"".join(e[4] for e in held) and len(r["ids"]) == 4 * r["length"] <= 4 * 256
+        assert [tuple(e) for e in r["pieces"]] == [e[:4] for e in held]
+    monkeypatch.setattr(queries, "table", lambda *_: docs.union(odd))
+    digests = queries.op1_best_fit_packing(spark, "")
+    assert digests.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    whole = packing.pack_documents(docs.union(odd), queries.vocabulary_path())
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["piece"], r["start"], r["length"], r["ids_crc32"])
+    want = [{**r.asDict(), "ids_crc32": zlib.crc32(bytes(r["ids"]))} for r in whole.collect()]
+    assert sorted(map(key, digests.collect())) == sorted(map(key, want))
 
 
 def test_near_duplicates_of_an_id_with_two_texts(spark):
