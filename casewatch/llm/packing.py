@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewatch.llm import bpe
@@ -154,19 +154,33 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Tokenize, cut and pack whole documents; one row per piece, with its ids."""
-    return pack(W.stored(bpe.token_pieces(docs, vocabulary_path, capacity), "pieces"), capacity)
+def document_pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY) -> DataFrame:
+    """(doc_id, piece, start, length, ids, row) of whole documents, tokenized, cut and written; `row` tells rows apart."""
+    pieces = bpe.token_pieces(docs, vocabulary_path, capacity)
+    return W.stored(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
 
 
-def sequences(packed: DataFrame) -> DataFrame:
-    """(sequence_id, length, ids, pieces) of packed documents: what a training run reads.
+def pack_documents(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, keep: dict[str, Column] | None = None) -> DataFrame:
+    """Places of the pieces of whole documents: (doc_id, piece, start, length, `keep`, sequence_id, offset).
+
+    `keep` names columns made from those of `document_pieces`. The ids stay in the written pieces, so
+    only a few numbers a piece are shuffled.
+    """
+    pieces = document_pieces(docs, vocabulary_path, capacity)
+    more = [column.alias(name) for name, column in (keep or {}).items()]
+    return pack(pieces.select("doc_id", "piece", "start", "length", *more), capacity)
+
+
+def sequences(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(sequence_id, length, ids, pieces): what a training run reads, from the written `document_pieces`.
 
     `ids` are the ids of all pieces in order, unsigned 32-bit little-endian; `pieces` (offset, length, doc_id, piece) say
-    where each begins. A sequence has at most `capacity` ids, so no group is large.
+    where each begins. The ids are shuffled once to their places and once to their sequences; a sequence has at most
+    `capacity` ids, so no group is large.
     """
+    placed = pack(pieces.drop("ids"), capacity).join(pieces.select("row", "ids"), "row")
     entry = F.struct("offset", "length", "doc_id", "piece", "ids")
-    held = packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), F.array_sort(F.collect_list(entry)).alias("held"))
+    held = placed.groupBy("sequence_id").agg(F.sum("length").alias("length"), F.array_sort(F.collect_list(entry)).alias("held"))
     joined = F.aggregate("held", F.lit(b""), lambda ids, e: F.concat(ids, e["ids"]))
     places = F.transform("held", lambda e: F.struct(e["offset"], e["length"], e["doc_id"], e["piece"]))
     return held.select("sequence_id", "length", joined.alias("ids"), places.alias("pieces"))

@@ -33,10 +33,7 @@ def fold(doc_id: Column) -> Column:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
-    return packed.select(
-        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
-    )
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path(), keep={"ids_crc32": F.crc32("ids")})
 
 
 def toxic_model(docs: DataFrame, labels: DataFrame):

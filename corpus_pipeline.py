@@ -33,8 +33,8 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece with its sequence and offset."""
-    return packing.pack_documents(docs, queries.vocabulary_path())
+    """One row per piece with its sequence and offset; `row` finds its ids among the written pieces."""
+    return packing.pack_documents(docs, queries.vocabulary_path(), keep={"ids_crc32": F.crc32("ids"), "row": F.col("row")})
 
 
 STAGES = [

@@ -55,7 +55,7 @@ def test_bpe_equals_the_tokenizer_and_decodes(spark, docs, odd, none):
 
 def test_packing_places_every_piece_once(docs, odd, none):
     tokenizer = reference_tokenizer()
-    rows = packing.pack_documents(docs.union(odd), queries.vocabulary_path()).collect()
+    rows = packing.pack_documents(docs.union(odd), queries.vocabulary_path(), keep={"ids": F.col("ids")}).collect()
     by_sequence, by_doc = defaultdict(list), defaultdict(list)
     for r in rows:
         by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -77,25 +77,29 @@ def test_packing_places_every_piece_once(docs, odd, none):
         for r in found:
             part = b"".join(i.to_bytes(4, "little") for i in ids[r["start"] : r["start"] + r["length"]])
             assert part == r["ids"]
-    empty = packing.pack_documents(none, queries.vocabulary_path())
-    assert empty.count() == 0 and packing.sequences(empty).count() == 0
+    empty = packing.document_pieces(none, queries.vocabulary_path())
+    assert empty.count() == 0 and packing.pack(empty).count() == 0 and packing.sequences(empty).count() == 0
 
 
-def test_sequences_hold_their_pieces_in_order(spark, docs, odd, monkeypatch):
-    packed = W.stored(packing.pack_documents(docs.union(odd), queries.vocabulary_path(), 256), "packed")
-    at = defaultdict(list)
-    for r in packed.collect():
-        at[r["sequence_id"]].append((r["offset"], r["length"], r["doc_id"], r["piece"], bytes(r["ids"])))
-    rows = packing.sequences(packed).collect()
-    assert {r["sequence_id"] for r in rows} == set(at) and len(rows) == len(at)
+def test_sequences_hold_whole_pieces_without_gaps(spark, docs, odd, monkeypatch):
+    pieces = packing.document_pieces(docs.union(odd), queries.vocabulary_path(), 256)
+    own = defaultdict(list)
+    for r in pieces.collect():
+        own[r["doc_id"], r["piece"]].append(bytes(r["ids"]))
+    rows = packing.sequences(pieces, 256).collect()
+    assert len({r["sequence_id"] for r in rows}) == len(rows)
     for r in rows:
-        held = sorted(at[r["sequence_id"]], key=lambda e: e[0])
-        assert bytes(r["ids"]) == b"".join(e[4] for e in held) and len(r["ids"]) == 4 * r["length"] <= 4 * 256
-        assert [tuple(e) for e in r["pieces"]] == [e[:4] for e in held]
+        at = 0
+        for offset, length, doc_id, piece in r["pieces"]:
+            assert offset == at
+            at += length
+            own[doc_id, piece].remove(bytes(r["ids"])[4 * offset : 4 * at])
+        assert at == r["length"] <= 256 and len(r["ids"]) == 4 * at
+    assert not any(own.values())
     monkeypatch.setattr(queries, "table", lambda *_: docs.union(odd))
     digests = queries.op1_best_fit_packing(spark, "")
     assert digests.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    whole = packing.pack_documents(docs.union(odd), queries.vocabulary_path())
+    whole = packing.document_pieces(docs.union(odd), queries.vocabulary_path())
     key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["piece"], r["start"], r["length"], r["ids_crc32"])
     want = [{**r.asDict(), "ids_crc32": zlib.crc32(bytes(r["ids"]))} for r in whole.collect()]
     assert sorted(map(key, digests.collect())) == sorted(map(key, want))
