@@ -180,3 +180,16 @@ def test_grid_equals_one_stratification_at_a_time(spark):
         assert sorted(map(tuple, own.collect())) == sorted(map(tuple, want.collect()))
     scans = grid._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD")
     assert scans == 1 and SG.stratified_grid(cases.where("false"), labels, sets).collect() == []
+
+
+def test_pieces_of_reports_follow_their_size(spark, sf_dir):
+    from casewatch.plans.carrier import report_table
+
+    report_table(spark, sf_dir)  # applies the settings; the session has 4 shuffle partitions
+    rows = spark.range(3_000_000).select("id", F.md5(F.col("id").cast("string")).alias("term"))
+
+    def pieces(df):
+        return df.groupBy("term").count().select(F.spark_partition_id().alias("p")).distinct().count()
+
+    assert pieces(rows) > 8
+    assert pieces(rows.limit(100)) == 1
