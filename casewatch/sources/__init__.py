@@ -4,7 +4,7 @@ from casewatch.sources.binding import (
     FIRST_SOURCE, ONSET_SOURCE, PORTABLE_SOURCE, SECOND_SOURCE, Logical, bind_columns,
 )
 from casewatch.sources.files import (
-    profile, read_features, read_reports, replace, write_by_case, write_features, write_table,
+    buckets_for, profile, read_features, read_reports, replace, write_by_case, write_features, write_table,
 )
 from casewatch.sources.locks import LockMismatch, lock_id, locked_spec, read_lock, write_lock
 from casewatch.sources.lookups import (

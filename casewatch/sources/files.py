@@ -61,10 +61,15 @@ def write_table(df: DataFrame, path: str) -> None:
     replace(df, path, "csv", header=True)
 
 
+def buckets_for(rows: int, least: int = 8, rows_a_bucket: int = 150_000) -> int:
+    """Number of buckets that grows with the rows, so that a bucket does not."""
+    return max(least, -(-rows // rows_a_bucket))
+
+
 def write_by_case(df: DataFrame, table: str, path: str, buckets: int, key: str = "case_id") -> DataFrame:
     """Report table stored in buckets of the case id: case-level groupings and joins of it need no shuffle.
 
-    Choose the buckets so that one fits an executor; tables that are to be joined take the same number.
+    Choose the buckets so that one fits a task (`buckets_for`); tables that are to be joined take the same number.
     """
     spark = df.sparkSession
     dealt = df.repartition(buckets, key)  # one file a bucket

@@ -209,3 +209,9 @@ def test_locks_are_named_by_their_content(spark, tmp_path):
     part.write_text(part.read_text().replace("-1.1", "-1.2"))
     with pytest.raises(S.LockMismatch, match="hash"):
         S.read_lock(spark, folder, name)
+
+
+def test_buckets_grow_with_the_rows(spark):
+    from casewatch.sources import buckets_for
+
+    assert [buckets_for(n) for n in (0, 600_000, 36_000_000, 216_000_000)] == [8, 8, 240, 1440]
