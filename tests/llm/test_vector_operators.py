@@ -144,6 +144,21 @@ def test_cells_save_products(n):
     assert recall >= 0.9 and share <= 0.3
 
 
+def test_no_step_by_the_number_of_vectors(spark):
+    probes = [ann.probed_cells(n, 128) for n in range(1, 40_000)]
+    assert probes[0] == 128 * 128 and all(0 <= a - b <= 0.01 * a + 1 for a, b in zip(probes, probes[1:]))
+    # 400 vectors are searched by their cells, as more are; all are looked at only where too few are found
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 64))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x[1] = -x[0]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {r["vec_id"] for r in ann.nearest(frame, lambda c: c == 0, k=398).collect()}
+    whole = {r["vec_id"] for r in ann.nearest(frame, lambda c: c == 0, k=399).collect()}
+    assert len(whole) == 399 and found <= whole
+    assert {r["vec_id"] for r in ann.nearest(frame, lambda c: c == 0, k=20).collect()} <= set(np.argsort(-(x @ x[0]))[1:40].tolist())
+
+
 def test_whole_search_where_cells_hold_too_few(spark):
     rows = [(i, [float(i % 7), 1.0, float(i)]) for i in range(700)] + [(900, [-1.0, -1.0, -1e-3]), (900, [-1.0, -1.0, -1e-3])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
