@@ -193,3 +193,20 @@ def test_pieces_of_reports_follow_their_size(spark, sf_dir):
 
     assert pieces(rows) > 8
     assert pieces(rows.limit(100)) == 1
+
+
+def test_number_of_pieces_follows_the_stored_bytes(spark, tmp_path, monkeypatch):
+    from casewatch import session
+
+    path = str(tmp_path / "reports")
+    spark.range(200_000).select("id", F.md5(F.col("id").cast("string")).alias("term")).repartition(4).write.parquet(path)
+    reports = spark.read.parquet(path)
+    size = sum(f.stat().st_size for f in (tmp_path / "reports").glob("part-*"))
+    assert session.stored_bytes(reports) == size
+    assert session.pieces_for(size) == 400  # as before for small inputs
+    assert session.pieces_for(4_000_000_000) == 954 and session.pieces_for(40_000_000_000) == 9537
+    monkeypatch.setattr(session, "STORED_BYTES_A_PIECE", 1000)
+    session.tune(spark, reports=reports)
+    number = int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum"))
+    assert number == -(-size // 1000) > 400
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "400")
