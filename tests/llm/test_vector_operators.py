@@ -159,6 +159,39 @@ def test_no_step_by_the_number_of_vectors(spark):
     assert {r["vec_id"] for r in ann.nearest(frame, lambda c: c == 0, k=20).collect()} <= set(np.argsort(-(x @ x[0]))[1:40].tolist())
 
 
+@pytest.mark.parametrize("clusters", [False, True])
+def test_wide_vectors_reach_the_recall(spark, clusters):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(4000, 200))
+    if clusters:
+        x = 0.5 * x + rng.normal(size=(100, 200))[rng.integers(0, 100, 4000)]
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest(frame, lambda c: c % 40 == 0, block=1000).collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    hits = 0
+    for q in range(0, 4000, 40):
+        order = [i for i in np.argsort(-(x @ x[q])) if i != q][:20]
+        assert len(found[q]) == 20
+        hits += len(set(found[q]) & set(map(int, order)))
+    assert hits >= 0.9 * 2000
+
+
+def test_number_of_cells_is_not_capped():
+    for n in (8_000, 9_000, 200_000):
+        assert ann.probed_cells(n, 512) >= 512 * 512 * ann.SHARE
+    x = ann.directions(np.random.default_rng(13).normal(size=(5, 32)))
+    a, b = ann.turned(x, 0, 0), ann.turned(x, 0, 1)
+    for probes in (1, 30, 700, 64 * 64):
+        first, second = ann.cells(x, 0, probes)
+        for i in range(5):
+            sums = np.sort((a[i][:, None] + b[i]).ravel())[::-1]
+            assert a[i][first[i]] + b[i][second[i]] == pytest.approx(sums[:probes])
+            assert len(set(zip(first[i], second[i]))) == probes
+            assert probes <= (sums >= ann.least_sum(a[i], b[i], probes)).sum() <= probes + 2
+
+
 def test_whole_search_where_cells_hold_too_few(spark):
     rows = [(i, [float(i % 7), 1.0, float(i)]) for i in range(700)] + [(900, [-1.0, -1.0, -1e-3]), (900, [-1.0, -1.0, -1e-3])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
